@@ -59,8 +59,8 @@ def build_index(docs: DataFrame, windows: Windows, scratch: Scratch) -> DataFram
     that repeat an id stay apart."""
     rows = docs.select(
         F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"),
-        F.posexplode(F.concat(words(F.col("text")), F.array(F.lit(END)))).alias("pos", "word"),
-    )
+        F.concat(words(F.col("text")), F.array(F.lit(END))).alias("words"),
+    ).select("rid", "doc_id", F.posexplode("words").alias("pos", "word"))
     hit = rows.join(small(windows.term), F.col("word") == F.col("term")).select("rid", "doc_id", "pos", "tid")
     return scratch.write(hit, "index")
 

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from inkmill.llm._shared import Scratch, small
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Documents that may be taken out of order to fill the end of a budget.
+CLOSING = 3
 #: Characters that running prose is not made of.
 NOISE = "0123456789#$%&*@^_|~<>{}[]=+\\/"
 
@@ -64,9 +66,9 @@ def plan_mixture(
     spark: SparkSession, docs: DataFrame, scratch: Scratch, weights=(1.0, 2.0, 3.0), most_epochs: float = 3.0, share: float = 1.0, seed: int = 17
 ) -> tuple[DataFrame, DataFrame]:
     """(documents: doc_id, source, size, key; plan: source, source_size, target, epochs,
-    last_key, last_id, extra_id). A document of a source is taken `epochs` times, and once
-    more if (key, doc_id) is not after (last_key, last_id) or if it is extra_id: the one
-    document beyond the prefix whose size best fills what is left of the budget."""
+    last_part, last_key, last_id, extra). A document of a source is taken `epochs` times, and once
+    more if (key, doc_id) is not after (last_key, last_id) or if it is one of `extra`: up to
+    CLOSING documents beyond the prefix whose sizes best fill what is left of the budget."""
     keyed = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         "source",
@@ -102,19 +104,28 @@ def plan_mixture(
     after = keyed.join(small(last), keyed["source"].eqNullSafe(F.col("s"))).filter(
         (F.col("part") > F.col("p")) | (F.col("part") == F.col("p")) & (F.col("last_key").isNull() | (F.struct("key", "doc_id") > F.struct("last_key", "last_id")))
     )
-    # The best closing document, if it brings the source nearer to its target.
-    fit = F.abs(F.col("gap") - F.col("size"))
-    closing = (
-        after.filter(fit < F.col("gap")).groupBy("s").agg(F.min(fit).alias("fit"))
-    )
-    closing = after.withColumnRenamed("s", "s1").withColumn("f", fit).join(
-        closing, F.col("s1").eqNullSafe(F.col("s")) & (F.col("f") == F.col("fit"))
-    ).groupBy(F.col("s").alias("s3")).agg(F.min("doc_id").alias("extra_id"))
+    # Closing documents: what best fits the words that are left, so that the source comes
+    # near its target though the documents in key order are coarse.
+    closing = last.select("s", "gap", F.array().cast("array<long>").alias("extra"))
+    for k in range(CLOSING):
+        open_ = closing.select(F.col("s").alias("c"), F.col("gap").alias("g"), "extra").filter("g > 0")
+        fit = F.abs(F.col("g") - F.col("size"))
+        fits = (F.col("size") <= F.col("g")) & (F.col("size") > 0) if k < CLOSING - 1 else fit < F.col("g")
+        best = (
+            after.drop("gap").join(small(open_), F.col("s").eqNullSafe(F.col("c")))
+            .filter(fits & F.col("doc_id").isNotNull() & ~F.array_contains("extra", F.col("doc_id")))
+            .groupBy(F.col("s").alias("c")).agg(F.min(F.struct(fit.alias("fit"), "doc_id", "size")).alias("best"))
+        )
+        closing = closing.join(best, F.col("s").eqNullSafe(F.col("c")), "left").select(
+            "s", (F.col("gap") - F.coalesce("best.size", F.lit(0))).alias("gap"),
+            F.when(F.col("best").isNull(), F.col("extra")).otherwise(F.array_append("extra", F.col("best.doc_id"))).alias("extra"),
+        )
+        closing = scratch.write(closing, f"closing-{k}")
     plan = (
         goals.join(last.drop("gap"), goals["source"].eqNullSafe(F.col("s")), "left")
         .withColumnRenamed("p", "last_part")
-        .join(closing, goals["source"].eqNullSafe(F.col("s3")), "left")
-        .select("source", "source_size", "target", "epochs", "rest", "last_part", "last_key", "last_id", "extra_id")
+        .join(closing.select(F.col("s").alias("s3"), "extra"), goals["source"].eqNullSafe(F.col("s3")), "left")
+        .select("source", "source_size", "target", "epochs", "rest", "last_part", "last_key", "last_id", "extra")
     )
     return keyed, scratch.write(plan, "plan")
 
@@ -126,7 +137,7 @@ def _times(part: Column | None) -> Column:
     a smaller part."""
     upto = F.struct("key", "doc_id") <= F.struct("last_key", "last_id")
     more = F.coalesce(F.when(F.col("last_key").isNotNull(), upto), (part < F.col("last_part")) if part is not None else F.lit(False), F.lit(False))
-    extra = F.coalesce(F.col("doc_id") == F.col("extra_id"), F.lit(False))
+    extra = F.coalesce(F.array_contains("extra", F.col("doc_id")), F.lit(False))
     return F.col("epochs") + F.when(F.col("rest") > 0, (more | extra).cast("long")).otherwise(0)
 
 
@@ -153,7 +164,7 @@ def mix(spark: SparkSession, docs: DataFrame, seed: int = 17, **options) -> Data
     before = keyed.join(small(plan.filter("last_key is null and last_part is not null").select(F.col("source").alias("s"), "last_part")), keyed["source"].eqNullSafe(F.col("s")) & (F.col("part") < F.col("last_part")))
     before = before.groupBy("s").agg(F.max(F.struct("key", "doc_id")).alias("m"))
     plan = plan.join(before, plan["source"].eqNullSafe(F.col("s")), "left").select(
-        F.col("source").alias("s_"), "epochs", "rest", F.coalesce("last_key", "m.key").alias("last_key"), F.coalesce("last_id", "m.doc_id").alias("last_id"), "extra_id"
+        F.col("source").alias("s_"), "epochs", "rest", F.coalesce("last_key", "m.key").alias("last_key"), F.coalesce("last_id", "m.doc_id").alias("last_id"), "extra"
     )
     plan = scratch.write(plan, "by_key")
     names = docs.columns
