@@ -10,7 +10,8 @@
 4. Survivors are verified on full sets: first each member's likeliest pair, then those
    whose ends are still in different components.
 5. Buckets whose members are still in different components are searched whole: members
-   meet in blocks, in numpy, only across components, and only survivors become rows.
+   meet in blocks, only across components: signatures first, then exactly, on full sets,
+   those with a survivor. Pairs stay in numpy; what leaves a block is a forest of links.
 """
 
 from __future__ import annotations
@@ -234,8 +235,8 @@ def _across(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return both.filter("c1 <> c2").select("member", "pivot")
 
 
-def _verify(docs: DataFrame, survivors: DataFrame, links: DataFrame | None, scratch: Scratch, name: str, p: NearDuplicates) -> DataFrame:
-    """links and those among the survivors, but for such as join what is joined already."""
+def _verify(docs: DataFrame, survivors: DataFrame, scratch: Scratch, name: str, p: NearDuplicates) -> DataFrame:
+    """The links among the survivors, but for such as join what others join already."""
     ends = survivors.select(F.col("member").alias("id")).unionByName(survivors.select(F.col("pivot").alias("id"))).distinct()
     sets = scratch.write(set_table(docs, scratch.write(ends, f"{name}-ids"), p), f"{name}-sets")
     # Each member's likeliest pivot; of equals the smallest.
@@ -244,7 +245,7 @@ def _verify(docs: DataFrame, survivors: DataFrame, links: DataFrame | None, scra
     top = ranked.groupBy(F.col("member").alias("m")).agg(F.max("rank").alias("r"))
     ranked = scratch.write(ranked.join(top, (F.col("member") == F.col("m")), "left").withColumn("first", F.col("rank") == F.col("r")).select("member", "pivot", "first"), f"{name}-ranked")
     found = exact_links(ranked.filter("first").select("member", "pivot"), sets, p)
-    found = scratch.write(found if links is None else links.unionByName(found), f"{name}-links-1")
+    found = scratch.write(found, f"{name}-links-1")
     parts = scratch.write(connected_components(found, scratch, f"{name}-cc"), f"{name}-parts")
     rest = scratch.write(_across(ranked.filter("not first"), parts), f"{name}-rest")
     if rest.limit(1).count():
@@ -252,26 +253,74 @@ def _verify(docs: DataFrame, survivors: DataFrame, links: DataFrame | None, scra
     return found
 
 
-def _search_blocks(members: DataFrame, p: NearDuplicates) -> DataFrame:
-    """members (bucket, bi, bj, side, id, component, sig): survivors among the pairs of block
-    bi with block bj of a bucket, across components only."""
-    steps, width = least_matches(p), p.bands * p.rows
+def _partners(table: pa.Table, p: NearDuplicates, steps: list[tuple[int, int]]) -> Iterator[tuple[int, np.ndarray]]:
+    """Of a group of members (side, id, component, sig): the position of each left member and
+    of the right members in other components that no batch of signature values prunes."""
+    side, ids, comp = (table.column(k).to_numpy() for k in ("side", "id", "component"))
+    width = p.bands * p.rows
+    sig = _rows(table.column("sig").combine_chunks(), width)
+    right = np.flatnonzero(side != 0)
+    for i in np.flatnonzero(side != 1):
+        to = right[(comp[right] != comp[i]) & (ids[right] != ids[i]) & ((side[i] == 0) | (ids[right] > ids[i]))]
+        if len(to):
+            live, _ = _survive(np.broadcast_to(sig[i], (len(to), width)), sig[to], steps)
+            if len(live):
+                yield i, to[live]
+
+
+_GROUP = ("bucket", "bi", "bj")
+
+
+def _close_members(members: DataFrame, p: NearDuplicates) -> DataFrame:
+    """members (bucket, bi, bj, side, id, component, sig) -> those, without sig, that have a
+    partner across components in their group; no pairs leave the group."""
+    steps = least_matches(p)
+    names = ["bucket", "bi", "bj", "side", "id", "component"]
+
+    def run(table: pa.Table) -> pa.Table:
+        close = np.zeros(table.num_rows, bool)
+        for i, to in _partners(table, p, steps):
+            close[i] = close[to] = True
+        return table.select(names).filter(pa.array(close))
+
+    return members.groupBy(*_GROUP).applyInArrow(run, "bucket long, bi int, bj int, side int, id long, component long")
+
+
+def _group_links(members: DataFrame, p: NearDuplicates) -> DataFrame:
+    """members (bucket, bi, bj, side, id, component, sig, shingles) -> links (a, b), exactly
+    verified on full sets, that join what was apart: fewer than the group has members."""
+    steps, percent = least_matches(p), p.percent
 
     def run(table: pa.Table) -> pa.Table:
-        side, ids, comp = (table.column(k).to_numpy() for k in ("side", "id", "component"))
-        sig = _rows(table.column("sig").combine_chunks(), width)
-        left = np.flatnonzero(side != 1)
-        right = np.flatnonzero(side != 0)
-        out: list[tuple[np.ndarray, ...]] = []
-        for i in left:
-            to = right[(comp[right] != comp[i]) & (ids[right] != ids[i]) & ((side[i] == 0) | (ids[right] > ids[i]))]
-            if len(to):
-                live, equal = _survive(np.broadcast_to(sig[i], (len(to), width)), sig[to], steps)
-                out.append((np.full(len(live), ids[i]), ids[to[live]], equal))
-        x, y, e = (np.concatenate(c) for c in zip(*out)) if out else (np.empty(0, np.int64),) * 3
-        return pa.table({"member": pa.array(x, pa.int64()), "pivot": pa.array(y, pa.int64()), "equal": pa.array(e, pa.int64())})
-
-    return members.groupBy("bucket", "bi", "bj").applyInArrow(run, "member long, pivot long, equal long")
+        ids = table.column("id").to_numpy()
+        sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
+        size = np.array([len(s) for s in sets])
+        _, place = np.unique(np.concatenate(sets), return_inverse=True)
+        ends = np.append(0, np.cumsum(size))
+        root = {int(c): int(c) for c in table.column("component").to_numpy()}
+        comp = [int(c) for c in table.column("component").to_numpy()]
+        flag = np.zeros(int(place.max()) + 1, bool)
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                x = root[x] = root[root[x]]
+            return x
+
+        out = []
+        for i, to in _partners(table, p, steps):
+            own = place[ends[i] : ends[i + 1]]
+            flag[own] = True
+            for j in to:
+                x, y = find(comp[i]), find(comp[j])
+                if x != y:
+                    common = int(flag[place[ends[j] : ends[j + 1]]].sum())
+                    if 100 * common >= percent * (int(size[i]) + int(size[j]) - common):
+                        root[max(x, y)] = min(x, y)
+                        out.append((int(ids[i]), int(ids[j])))
+            flag[own] = False
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return members.groupBy(*_GROUP).applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, p: NearDuplicates = NearDuplicates()) -> DataFrame:
@@ -296,7 +345,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, p: NearDuplicates = Ne
 
     pairs = members.filter("id <> pivot").select(F.col("id").alias("member"), "pivot").distinct()
     survivors = scratch.write(prune(pairs, reps, p), "survivors-1")
-    links = _verify(docs, survivors, None, scratch, "star", p)
+    links = _verify(docs, survivors, scratch, "star", p)
     parts = scratch.write(connected_components(links, scratch, "cc-1"), "parts-1")
 
     # Buckets of three or more whose members are not all in one component.
@@ -314,15 +363,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, p: NearDuplicates = Ne
             "bucket", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"),
             F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "id", "component",
         )
-        crowd = crowd.join(reps.select(F.col("id").alias("i"), "sig"), F.col("id") == F.col("i")).drop("i")
-        more = scratch.write(_search_blocks(crowd, p).groupBy("member", "pivot").agg(F.max("equal").alias("equal")), "survivors-2")
-        if more.limit(1).count():
-            links = _verify(docs, more, links, scratch, "rest", p)
+        signature = reps.select(F.col("id").alias("i"), "sig")
+        close = scratch.write(_close_members(crowd.join(signature, F.col("id") == F.col("i")).drop("i"), p), "close")
+        ids = scratch.write(close.select("id").distinct(), "close-ids")
+        if ids.limit(1).count():
+            sets = scratch.write(set_table(docs, ids, p), "close-sets").select(F.col("id").alias("j"), "shingles")
+            group = close.join(signature, F.col("id") == F.col("i")).drop("i").join(sets, F.col("id") == F.col("j")).drop("j")
+            more = scratch.write(_group_links(group, p).distinct(), "close-links")
+            links = links.unionByName(more)
             parts = scratch.write(connected_components(links, scratch, "cc-2"), "parts-2")
 
     own = _with_component(classes, "id", parts, "component").select("k", "component")
     own = scratch.write(own, "own")
-    scratch.drop("reps", "members", "star-sets", "rest-sets", "crowd")
+    scratch.drop("reps", "members", "star-sets", "close-sets", "crowd", "close")
     slim = signed.select("doc_id", "n_shingles", "set_key")
     joined = slim.join(own, F.col("set_key") == F.col("k"), "left")
     component = F.coalesce("component", "doc_id")
