@@ -15,6 +15,7 @@ parts' totals: one number per part meets in the driver, never one per document.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -31,8 +32,14 @@ from pyspark.sql import functions as F
 from inkmill.llm._shared import Scratch
 
 MAGIC = b"INKTOK01"
-#: White space at which every text may be cut before tokenization (see encoder()).
+#: White space at which every text may be cut before tokenization (see encoder()), and such
+#: as str.split() cuts at too but the tokenizer may not.
 CUT = re.compile(r"[ \n\t\r]+")
+OTHER_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: The word-end vocabulary's own rule for pieces, on lower-cased text.
+PIECES = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Runs of Latin letters, digits and signs whose lower case and normal form go character by character.
+LATIN = re.compile(r"[\x21-\x7e\u00a1-\u012f\u0131-\u017f]+")
 
 
 @dataclass(frozen=True)
@@ -44,32 +51,98 @@ class TokenFiles:
     parts: list[tuple[int, int, int, int]]
 
 
-def encoder(tokenizer_path: str, width: int, most_words: int = 300_000):
-    """text -> its ids as bytes, for a tokenizer that drops white space and never joins
-    across it (the word-end BPE vocabulary does so): each distinct run between white
-    space is tokenized once, and a text is the concatenation of its runs' ids. The cache
-    holds `most_words` runs at most, so memory stays bounded; very long runs are not kept."""
+def _byte_letters() -> list[str]:
+    """The letter by which byte-level vocabularies write each byte: printable Latin-1 bytes
+    by themselves, the others by the letters from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+
+
+class _Cache(dict):
+    """A cache of two generations of at most `most` entries each, filled by make()."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+    def rest(self) -> None:
+        """Between texts: a full generation becomes the old one."""
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+
+
+def encoder(tokenizer_path: str, width: int, most: int = 250_000):
+    """text -> its ids as bytes.
+
+    A tokenizer whose rules drop white space and never join across it, as those of the
+    word-end vocabulary, sees each distinct run between white space once, and the run's
+    pieces once; a text is the concatenation of its runs' ids. Runs that are not plain Latin
+    or hold special tokens go through the whole tokenizer. Any other tokenizer gets whole
+    texts. Caches are bounded, so memory does not grow with the text.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import regex
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path)
     kind = np.dtype(f"<u{width}")
-    known: dict[str, bytes] = {}
+    rules = json.loads(tokenizer.to_str())
+    steps = [[x["type"] for x in rules[k]["normalizers" if k == "normalizer" else "pretokenizers"]] if (rules[k] or {}).get("type") == "Sequence" else None for k in ("normalizer", "pre_tokenizer")]
+    words_apart = steps == [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]] and rules["pre_tokenizer"]["pretokenizers"][0]["pattern"] == {"Regex": PIECES}
+    whole = lambda text: np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, kind).tobytes()
+    if not words_apart:
+        return whole
+    model, letters = tokenizer.model, _byte_letters()
+    split, special = regex.compile(PIECES).findall, sorted({t["content"][:2] for t in rules["added_tokens"]})
+    packed = [i.to_bytes(width, "little") for i in range(tokenizer.get_vocab_size(with_added_tokens=True))]
+
+    def piece(text: str) -> bytes:
+        if not text.isascii():
+            text = "".join([letters[b] for b in text.encode()])
+        return b"".join([packed[t.id] for t in model.tokenize(text)])
+
+    pieces = _Cache(piece, most)
+
+    def run(text: str) -> bytes:
+        if LATIN.fullmatch(text) is None:
+            return whole(text)
+        for t in special:
+            if t in text:
+                return whole(text)
+        return b"".join(map(pieces.__getitem__, split(text.lower())))
+
+    runs = _Cache(run, most)
 
     def encode(text: str) -> bytes:
-        words = CUT.split(text)
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(known) + len(new) > most_words:
-                known.clear()
-                new = list(set(words))
-            for w, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False)):
-                known[w] = np.asarray(e.ids, kind).tobytes()
-        return b"".join(map(known.__getitem__, words))
+        cut = text.split() if OTHER_SPACE.search(text) is None else CUT.split(text)
+        data = b"".join(map(runs.__getitem__, cut))
+        runs.rest()
+        pieces.rest()
+        return data
 
     return encode
 
 
+def _worker_encoder(tokenizer_path: str, width: int):
+    """The encoder of this Python worker: its caches outlive a task, kept on a module that
+    every worker has."""
+    import tokenizers
+
+    kept = tokenizers.__dict__.setdefault("_inkmill_encoders", {})
+    if (tokenizer_path, width) not in kept:
+        kept[tokenizer_path, width] = encoder(tokenizer_path, width)
+    return kept[tokenizer_path, width]
+
+
 def _store(uri: str):
     return pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + os.path.abspath(uri))
 
@@ -98,7 +171,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
 
         task = TaskContext.get()
         part, attempt = task.partitionId(), task.taskAttemptId()
-        encode = encoder(tokenizer_path, width)
+        encode = _worker_encoder(tokenizer_path, width)
         end = np.asarray([end_id], np.dtype(f"<u{width}")).tobytes()
         store, at = _store(folder)
         ids: list[int] = []
