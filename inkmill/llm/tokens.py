@@ -38,8 +38,11 @@ CUT = re.compile(r"[ \n\t\r]+")
 OTHER_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: The word-end vocabulary's own rule for pieces, on lower-cased text.
 PIECES = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-#: Runs of Latin letters, digits and signs whose lower case and normal form go character by character.
-LATIN = re.compile(r"[\x21-\x7e\u00a1-\u012f\u0131-\u017f]+")
+#: Texts of Latin letters, digits and signs, whose lower case and normal form go character by
+#: character, and PIECES for these once they are lower-cased.
+LATIN = re.compile(r"[\t\n\r\x20-\x7e\u00a1-\u012f\u0131-\u017f]*")
+_L, _N = r"a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u017f", r"0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+LATIN_PIECES = re.compile(f"[{_L}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_N}]|[^\\s{_L}{_N}]+")
 
 
 @dataclass(frozen=True)
@@ -80,17 +83,16 @@ class _Cache(dict):
             self.clear()
 
 
-def encoder(tokenizer_path: str, width: int, most: int = 250_000):
+def encoder(tokenizer_path: str, width: int, most: int = 300_000):
     """text -> its ids as bytes.
 
     A tokenizer whose rules drop white space and never join across it, as those of the
-    word-end vocabulary, sees each distinct run between white space once, and the run's
-    pieces once; a text is the concatenation of its runs' ids. Runs that are not plain Latin
-    or hold special tokens go through the whole tokenizer. Any other tokenizer gets whole
-    texts. Caches are bounded, so memory does not grow with the text.
+    word-end vocabulary, sees each distinct piece of Latin text once; a text is the
+    concatenation of its pieces' ids. Texts with other letters or special tokens are cut at
+    white space only, and each distinct run goes through the whole tokenizer. Any other
+    tokenizer gets whole texts. Caches are bounded, so memory does not grow with the text.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    import regex
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path)
@@ -102,7 +104,7 @@ def encoder(tokenizer_path: str, width: int, most: int = 250_000):
     if not words_apart:
         return whole
     model, letters = tokenizer.model, _byte_letters()
-    split, special = regex.compile(PIECES).findall, sorted({t["content"][:2] for t in rules["added_tokens"]})
+    special = sorted({t["content"][:2] for t in rules["added_tokens"]})
     packed = [i.to_bytes(width, "little") for i in range(tokenizer.get_vocab_size(with_added_tokens=True))]
 
     def piece(text: str) -> bytes:
@@ -110,23 +112,16 @@ def encoder(tokenizer_path: str, width: int, most: int = 250_000):
             text = "".join([letters[b] for b in text.encode()])
         return b"".join([packed[t.id] for t in model.tokenize(text)])
 
-    pieces = _Cache(piece, most)
-
-    def run(text: str) -> bytes:
-        if LATIN.fullmatch(text) is None:
-            return whole(text)
-        for t in special:
-            if t in text:
-                return whole(text)
-        return b"".join(map(pieces.__getitem__, split(text.lower())))
-
-    runs = _Cache(run, most)
+    pieces, runs = _Cache(piece, most), _Cache(whole, most // 4)
 
     def encode(text: str) -> bytes:
-        cut = text.split() if OTHER_SPACE.search(text) is None else CUT.split(text)
-        data = b"".join(map(runs.__getitem__, cut))
-        runs.rest()
-        pieces.rest()
+        if LATIN.fullmatch(text) is None or any(t in text for t in special):
+            cut = text.split() if OTHER_SPACE.search(text) is None else CUT.split(text)
+            data = b"".join(map(runs.__getitem__, cut))
+            runs.rest()
+        else:
+            data = b"".join(map(pieces.__getitem__, LATIN_PIECES.findall(text.lower())))
+            pieces.rest()
         return data
 
     return encode
