@@ -17,6 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkmill.llm._bytes import BUCKETS, runs, sums, trigrams
@@ -45,17 +46,20 @@ def fit(spark: SparkSession, rows: DataFrame, p: Identification) -> tuple[list[s
     """Languages, and log-probabilities of trigram buckets by language, from a bounded sample
     of rows (id, text, declared): for each of the most frequent declared languages the
     p.sample rows with the smallest hashes."""
-    names = rows.filter("declared is not null").groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(p.languages)
-    names = sorted(r[0] for r in names.collect())
+    told = rows.filter("declared is not null").groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(p.languages).collect()
+    sizes = {r[0]: r[1] for r in told}
+    names = sorted(sizes)
     if not names:
         return [], np.empty((0, BUCKETS))
-    order = F.xxhash64("id", F.lit(5))
-    picked = None
-    for name in names:
-        one = rows.filter(F.col("declared") == name).select("id", "declared").orderBy(order, "id").limit(p.sample)
-        picked = one if picked is None else picked.unionByName(one)
-    # sample x languages ids: bounded by the parameters.
-    picked = F.broadcast(picked.select(F.col("id").alias("i"), F.col("declared").alias("d")).distinct())
+    # One pass takes rows with small hashes, about twice as many as are needed; of these, which
+    # are few, the smallest are kept.
+    hash_ = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30))
+    near = F.lit(False)
+    for name, n in sizes.items():
+        near = near | ((F.col("declared") == name) & (hash_ <= min(1 << 30, (2 * p.sample + 50) * (1 << 30) // n)))
+    by = W.partitionBy("d").orderBy("h", "id", "text")
+    sample = rows.filter(near).select("id", "text", F.col("declared").alias("d"), hash_.alias("h"))
+    sample = sample.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= p.sample)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {}
@@ -70,9 +74,8 @@ def fit(spark: SparkSession, rows: DataFrame, p: Identification) -> tuple[list[s
         if total:
             yield pa.RecordBatch.from_pydict({"d": pa.array(list(total)), "c": pa.array([c.astype("<i8").tobytes() for c in total.values()], pa.binary())})
 
-    sample = rows.select("id", "text", "declared").join(picked, (F.col("id") == F.col("i")) & (F.col("declared") == F.col("d")))
     counts = np.zeros((len(names), BUCKETS))
-    for d, c in sample.select("d", "text").coalesce(4).mapInArrow(count, "d string, c binary").collect():
+    for d, c in sample.select("d", "text").mapInArrow(count, "d string, c binary").collect():
         counts[names.index(d)] += np.frombuffer(c, "<i8")
     return names, np.log((counts + 0.5) / (counts.sum(1, keepdims=True) + 0.5 * BUCKETS))
 

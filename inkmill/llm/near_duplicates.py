@@ -37,7 +37,8 @@ LOWER = {c: c + 32 for c in range(65, 91)}
 @dataclass(frozen=True)
 class NearDuplicates:
     """words per shingle; percent of similarity; bands of rows; miss probability of the
-    pruning per pair; values compared at a time; members of a block."""
+    pruning per pair; values compared at a time; members of a block; members up to which
+    buckets that share members are searched as one group."""
 
     words: int = 5
     percent: int = 80
@@ -45,7 +46,8 @@ class NearDuplicates:
     rows: int = 6
     miss: float = 1e-7
     batch: int = 40
-    block: int = 128
+    block: int = 256
+    group: int = 4096
     seed: int = 7
 
 
@@ -268,14 +270,14 @@ def _partners(table: pa.Table, p: NearDuplicates, steps: list[tuple[int, int]])
                 yield i, to[live]
 
 
-_GROUP = ("bucket", "bi", "bj")
+_GROUP = ("kind", "grp", "bi", "bj")
 
 
 def _close_members(members: DataFrame, p: NearDuplicates) -> DataFrame:
-    """members (bucket, bi, bj, side, id, component, sig) -> those, without sig, that have a
+    """members (kind, grp, bi, bj, side, id, component, sig) -> those, without sig, that have a
     partner across components in their group; no pairs leave the group."""
     steps = least_matches(p)
-    names = ["bucket", "bi", "bj", "side", "id", "component"]
+    names = [*_GROUP, "side", "id", "component"]
 
     def run(table: pa.Table) -> pa.Table:
         close = np.zeros(table.num_rows, bool)
@@ -283,11 +285,11 @@ def _close_members(members: DataFrame, p: NearDuplicates) -> DataFrame:
             close[i] = close[to] = True
         return table.select(names).filter(pa.array(close))
 
-    return members.groupBy(*_GROUP).applyInArrow(run, "bucket long, bi int, bj int, side int, id long, component long")
+    return members.groupBy(*_GROUP).applyInArrow(run, "kind int, grp long, bi int, bj int, side int, id long, component long")
 
 
 def _group_links(members: DataFrame, p: NearDuplicates) -> DataFrame:
-    """members (bucket, bi, bj, side, id, component, sig, shingles) -> links (a, b), exactly
+    """members (kind, grp, bi, bj, side, id, component, sig, shingles) -> links (a, b), exactly
     verified on full sets, that join what was apart: fewer than the group has members."""
     steps, percent = least_matches(p), p.percent
 
@@ -323,6 +325,35 @@ def _group_links(members: DataFrame, p: NearDuplicates) -> DataFrame:
     return members.groupBy(*_GROUP).applyInArrow(run, "a long, b long")
 
 
+def _groups(crowd: DataFrame, scratch: Scratch, p: NearDuplicates) -> DataFrame:
+    """crowd (bucket, id, pivot, component) -> members (kind, grp, id, component, n) of groups
+    that hold every pair that shares a bucket. Buckets that share members are one group of
+    kind 0, so a document is dealt once however many bands it is in; where such a group
+    grows beyond p.group members, its buckets stay groups of kind 1."""
+    edges = crowd.select(F.col("id").alias("a"), F.col("pivot").alias("b"))
+    nodes = scratch.write(connected_components(edges, scratch, "cc-groups"), "groups")
+    sizes = nodes.groupBy(F.col("component").alias("g")).agg(F.count("*").alias("n"))
+    at = nodes.select(F.col("node").alias("_n"), F.col("component").alias("grp")).join(sizes, F.col("grp") == F.col("g")).drop("g")
+    at = scratch.write(at, "group-sizes")
+    own = crowd.select("id", "component").distinct().join(at, F.col("id") == F.col("_n")).filter(F.col("n") <= p.group)
+    big = at.filter(F.col("n") > p.group).select("_n")
+    rest = crowd.join(big, F.col("id") == F.col("_n"), "left_semi")
+    count = rest.groupBy(F.col("bucket").alias("b")).agg(F.count("*").alias("m"))
+    rest = rest.join(count, F.col("bucket") == F.col("b")).select(F.lit(1).alias("kind"), F.col("bucket").alias("grp"), "id", "component", F.col("m").alias("n"))
+    return own.select(F.lit(0).alias("kind"), "grp", "id", "component", "n").unionByName(rest)
+
+
+def _blocks(members: DataFrame, p: NearDuplicates) -> DataFrame:
+    """members with bi, bj, side: each is dealt to its own block of about p.block members
+    (side 2) and, as left (0) or right (1), to those with every other block of its group."""
+    rows = members.withColumn("m", F.ceil(F.col("n") / p.block).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("m")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    return rows.select(
+        "kind", "grp", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"),
+        F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "id", "component",
+    )
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, p: NearDuplicates = NearDuplicates()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text).
 
@@ -349,22 +380,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, p: NearDuplicates = Ne
     parts = scratch.write(connected_components(links, scratch, "cc-1"), "parts-1")
 
     # Buckets of three or more whose members are not all in one component.
-    crowd = _with_component(members.filter("n > 2"), "id", parts, "component").select("bucket", "id", "n", "component")
+    crowd = _with_component(members.filter("n > 2"), "id", parts, "component").select("bucket", "id", "n", "pivot", "component")
     crowd = scratch.write(crowd, "crowd")
     open_ = crowd.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
     open_ = scratch.write(open_.select(F.col("bucket").alias("b")), "open")
     if open_.limit(1).count():
-        crowd = crowd.join(open_, F.col("bucket") == F.col("b"), "left_semi")
-        blocks = F.ceil(F.col("n") / p.block).cast("int")
-        crowd = crowd.withColumn("m", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("m")).cast("int"))
-        # A member meets its own block once (side 2) and every other block as left or right.
-        crowd = crowd.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-        crowd = crowd.select(
-            "bucket", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"),
-            F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "id", "component",
-        )
+        crowd = scratch.write(crowd.join(open_, F.col("bucket") == F.col("b"), "left_semi"), "open-members")
         signature = reps.select(F.col("id").alias("i"), "sig")
-        close = scratch.write(_close_members(crowd.join(signature, F.col("id") == F.col("i")).drop("i"), p), "close")
+        dealt = scratch.write(_blocks(_groups(crowd, scratch, p), p), "dealt")
+        close = scratch.write(_close_members(dealt.join(signature, F.col("id") == F.col("i")).drop("i"), p), "close")
         ids = scratch.write(close.select("id").distinct(), "close-ids")
         if ids.limit(1).count():
             sets = scratch.write(set_table(docs, ids, p), "close-sets").select(F.col("id").alias("j"), "shingles")
@@ -375,7 +399,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, p: NearDuplicates = Ne
 
     own = _with_component(classes, "id", parts, "component").select("k", "component")
     own = scratch.write(own, "own")
-    scratch.drop("reps", "members", "star-sets", "close-sets", "crowd", "close")
+    scratch.drop("reps", "members", "star-sets", "close-sets", "crowd", "open-members", "dealt", "close")
     slim = signed.select("doc_id", "n_shingles", "set_key")
     joined = slim.join(own, F.col("set_key") == F.col("k"), "left")
     component = F.coalesce("component", "doc_id")

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 
 from inkmill.llm.chat import digest_formatted, escape, format_conversations, format_turns, parse, unescape
 from inkmill.llm.language import Identification, identify, page_rows
-from inkmill.llm.urls import ListedRule, filter_urls, host_and_path
+from inkmill.llm.urls import ListedRule, filter_urls
 
 PIECES = st.lists(st.sampled_from(["<|im_start|>", "<|im_end|>", "<", "|", "\\", "\n", "user", "assistant", "a", "é", "<\\|", "<\\\\|im_end|>\n"]), max_size=8).map("".join)
 
@@ -78,11 +78,6 @@ def test_mined_rules_judge_the_rest(spark):
     assert empty.count() == 0
 
 
-def test_host_of_nothing(spark):
-    host, path = host_and_path(spark.range(1).selectExpr("cast(null as string) u").u)
-    assert spark.range(1).selectExpr("cast(null as string) u").select(host, path).first() == ("", "")
-
-
 @pytest.fixture(scope="module")
 def pages(spark):
     return spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
