@@ -24,12 +24,14 @@ TOKEN = re.compile(r"[^\W\d_]+")
 @dataclass(frozen=True)
 class PositiveUnlabelled:
     """Most positive and unlabelled documents to fit on (the smallest by hash of the id), most
-    words of the model, rows a word must have, Adam's steps and rate, weight decay."""
+    words of the model, rows a word must have and standard errors by which it must stand out,
+    Adam's steps and rate, weight decay."""
 
     positives: int = 8_000
     unlabelled: int = 16_000
     words: int = 400
     least_rows: int = 5
+    least_z: float = 4.0
     steps: int = 400
     rate: float = 0.05
     decay: float = 1e-4
@@ -70,57 +72,72 @@ def training_sample(docs: DataFrame, labels: DataFrame, p: PositiveUnlabelled) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Tokens()
         for batch in batches:
-            words = [" ".join(sorted(word_set(t.as_py(), cache))) for t in batch.column(1)]
-            yield pa.RecordBatch.from_pydict({"positive": batch.column(0), "words": pa.array(words, pa.string())})
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                words = [sorted(word_set(t.as_py(), cache)) for t in part.column(1)]
+                yield pa.RecordBatch.from_pydict({"positive": part.column(0), "words": pa.array(words, pa.list_(pa.string()))})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, F.col("doc_id") == F.col("i"))
-    return texts.select("positive", "text").mapInArrow(run, "positive int, words string"), prior
-
-
-def fit(rows: list[tuple[int, set[str]]], prior: float, p: PositiveUnlabelled) -> tuple[dict[str, float], float]:
-    """Word weights and bias. Words come into the model by how far their share among the
-    positives stands out from that among the unlabelled, in standard errors."""
-    n = [max(1, sum(1 for y, _ in rows if y == k)) for k in (0, 1)]
-    count: dict[str, list[int]] = {}
-    for y, words in rows:
-        for w in words:
-            count.setdefault(w, [0, 0])[y] += 1
-    names = sorted(w for w, c in count.items() if sum(c) >= p.least_rows)
+    return texts.select("positive", "text").mapInArrow(run, "positive int, words array<string>"), prior
+
+
+def select_words(sample: DataFrame, p: PositiveUnlabelled) -> list[str]:
+    """The words whose share among the positives stands out most from that among the
+    unlabelled, in standard errors; counted by Spark, p.words at most reach the driver."""
+    n = {r[0]: r[1] for r in sample.groupBy("positive").count().collect()}
+    if not n.get(1) or not n.get(0):
+        return []
+    count = sample.select("positive", F.explode("words").alias("word")).groupBy("word").agg(F.sum("positive").alias("p"), F.count("*").alias("all"))
+    count = count.filter(F.col("all") >= p.least_rows)
+    share = {1: (F.col("p") + 0.5) / (n[1] + 1), 0: (F.col("all") - F.col("p") + 0.5) / (n[0] + 1)}
+    z = (share[1] - share[0]) / F.sqrt(share[0] * (1 - share[0]) / n[0] + share[1] * (1 - share[1]) / n[1])
+    best = count.select("word", F.abs(z).alias("z")).filter(F.col("z") >= p.least_z).orderBy(F.desc("z"), "word").limit(p.words)
+    return sorted(r.word for r in best.collect())
+
+
+def design(sample: DataFrame, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Presence of the words in each row of the sample, and whether it is positive. Rows come
+    as packed bits, so the driver gets len(words) / 8 bytes for each of a bounded number."""
+    place = {w: i for i, w in enumerate(words)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = []
+            for row in batch.column(1):
+                x = np.zeros(len(place), bool)
+                x[[place[w] for w in row.as_py() if w in place]] = True
+                bits.append(np.packbits(x).tobytes())
+            yield pa.RecordBatch.from_pydict({"positive": batch.column(0), "bits": pa.array(bits, pa.binary())})
+
+    table = sample.select("positive", "words").mapInArrow(run, "positive int, bits binary").orderBy("positive", "bits").toArrow()
+    y = np.array(table.column(0).to_pylist(), bool)
+    bits = np.frombuffer(b"".join(table.column(1).to_pylist()), np.uint8).reshape(len(y), -1)
+    return np.unpackbits(bits, axis=1, count=len(words)).astype(np.float32), y
+
+
+def fit(x: np.ndarray, y: np.ndarray, prior: float, p: PositiveUnlabelled) -> tuple[np.ndarray, float]:
+    """Weights and bias by Adam on the non-negative risk; where the negative part of the risk
+    falls below zero, its gradient is reversed."""
     bias = float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
-    if not names or not any(y for y, _ in rows):
-        return {}, bias
-    c = np.array([count[w] for w in names], float)
-    share = (c + 0.5) / (np.array(n) + 1)
-    z = (share[:, 1] - share[:, 0]) / np.sqrt(share[:, 0] * (1 - share[:, 0]) / n[0] + share[:, 1] * (1 - share[:, 1]) / n[1])
-    best = np.argsort(-np.abs(z), kind="stable")[: p.words]
-    best = best[np.abs(z[best]) >= 4]
-    if not len(best):
-        return {}, bias
-    column = {names[j]: k for k, j in enumerate(best)}
-    x = np.zeros((len(rows), len(best)), np.float32)
-    for i, (_, words) in enumerate(rows):
-        for w in words:
-            if (k := column.get(w)) is not None:
-                x[i, k] = 1
-    y = np.array([y for y, _ in rows], bool)
+    if not x.size or not y.any() or y.all():
+        return np.zeros(x.shape[1] if x.ndim == 2 else 0), bias
     xp, xu = x[y], x[~y]
-    w, b = np.zeros(len(best)), bias
-    m, v = np.zeros(len(best) + 1), np.zeros(len(best) + 1)
+    w, b = np.zeros(x.shape[1]), bias
+    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     sigmoid = lambda s: 1 / (1 + np.exp(-np.clip(s, -30, 30)))
-    soft = lambda s: np.logaddexp(0, s)
+    part = lambda x_, g: np.append(x_.T @ g, g.sum()) / len(g)
     for t in range(1, p.steps + 1):
         sp, su = xp @ w + b, xu @ w + b
         gp, gu = sigmoid(sp), sigmoid(su)
-        negative = soft(su).mean() - prior * soft(sp).mean()
+        negative = np.logaddexp(0, su).mean() - prior * np.logaddexp(0, sp).mean()
         # d/ds softplus(-s) = sigmoid(s) - 1; d/ds softplus(s) = sigmoid(s)
-        part = lambda x_, g: np.append(x_.T @ g, g.sum()) / len(g)
         grad = part(xu, gu) - prior * part(xp, gp)
         grad = prior * part(xp, gp - 1) + grad if negative >= 0 else -grad
         grad[:-1] += p.decay * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         step = p.rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
-    return {names[j]: float(w[k]) for k, j in enumerate(best)}, float(b)
+    return w, float(b)
 
 
 def score(docs: DataFrame, weights: dict[str, float], bias: float) -> DataFrame:
@@ -155,8 +172,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, p: Positiv
     result each. Without a positive example every score is the prior. Empty table: no rows.
     """
     sample, prior = training_sample(docs, labels, p)
-    table = Scratch(spark, "toxicity").write(sample, "sample").orderBy("positive", "words").toArrow()
-    rows = [(y, set(w.split())) for y, w in zip(table.column(0).to_pylist(), table.column(1).to_pylist())]
-    weights, bias = fit(rows, prior, p)
+    sample = Scratch(spark, "toxicity").write(sample, "sample")
+    words = select_words(sample, p)
+    w, bias = fit(*(design(sample, words) if words else (np.empty((0, 0)), np.empty(0, bool))), prior, p)
+    weights = {word: float(x) for word, x in zip(words, w)}
     scored = score(docs, weights, bias)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
