@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inkmill.functions import text as tx
 
@@ -99,7 +100,7 @@ def _content_errors(content: dict) -> list[str]:
     return out
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def json_envelope_errors(texts: pd.Series) -> pd.Series:
     def run(text):
         try:

@@ -18,20 +18,23 @@ def _at(x: Column, p: str) -> Column:
     return F.when(x.rlike(tx.pattern(p, True, True)), F.length(head))
 
 
-def major_parts(x, names: tuple[str, str, str, str] = ("preface", "contents", "main_content", "appendices")) -> Column:
-    """struct of the text before "Contents" on a line, from there to "Chapter 1", from there
-    to the first "Appendix X" after it, and the rest; what is not found is empty."""
+def major_parts(x, names: tuple[str, str, str, str] = ("preface", "contents", "main_content", "appendices"), literal: bool = False) -> Column:
+    """struct of the text before "Contents" on a line, from there to the heading of chapter 1,
+    from there to the first appendix after it, and the rest; what is not found is empty. A
+    line of the contents that ends in a page number is no heading, unless `literal`. Contents
+    without a chapter 1 make all that follows main content."""
     y = tx._c(x)
-    contents = _at(y, r"^\s*Contents\s*$")
-    chapter = _at(y, r"^\s*C\s*h\s*a\s*p\s*t\s*e\s*r\s+1\s*:")
+    tail = "" if literal else r"(?![^\n]*\s\d+[^\S\n]*$)"
+    contents = _at(y, r"^[^\S\n]*C\s*o\s*n\s*t\s*e\s*n\s*t\s*s[^\S\n]*$")
+    start = F.coalesce(contents, F.lit(0))
+    chapter = start + _at(F.substring(y, start + 1, F.length(y)), rf"^[^\S\n]*C\s*h\s*a\s*p\s*t\s*e\s*r\s*1\s*:{tail}")
     rest = F.substring(y, chapter + 1, F.length(y))
-    appendix = chapter + _at(rest, r"^\s*A\s*p\s*p\s*e\s*n\s*d\s*i\s*x\s+[A-Z]\b")
+    appendix = chapter + _at(rest, rf"^[^\S\n]*A\s*p\s*p\s*e\s*n\s*d\s*i\s*x\s+[A-Z]\b{tail}")
     n = F.length(y)
-    piece = lambda a, b: F.coalesce(tx.ustrip(F.substring(y, a + 1, b - a)), F.lit(""))
-    first = F.coalesce(contents, chapter)
+    piece = lambda a, b: tx.ustrip(F.substring(y, a + 1, b - a))
     parts = (
-        F.when(first.isNotNull(), piece(F.lit(0), first)), F.when(contents.isNotNull(), piece(contents, F.coalesce(F.when(chapter > contents, chapter), n))),
-        F.when(chapter.isNotNull(), piece(chapter, F.coalesce(appendix, n))), F.when(appendix.isNotNull(), piece(appendix, n)),
+        piece(F.lit(0), F.coalesce(contents, chapter)), F.when(contents.isNotNull() & chapter.isNotNull(), piece(contents, chapter)),
+        F.coalesce(piece(chapter, F.coalesce(appendix, n)), piece(contents, n)), piece(appendix, n),
     )
     return F.struct(*[F.coalesce(p, F.lit("")).alias(name) for p, name in zip(parts, names)])
 

@@ -200,11 +200,11 @@ def _positions_sql(lints):
         flag = "(?i)" if ignore_case else ""
         for k, (p, by, conf) in enumerate(table):
             q = _lit(flag + p)
-            each.append(f"SELECT doc_id, text, {i} AS lint, {_lit(kind)} AS error_type, {k} AS rule_no, {_lit(by)} AS by, string_split_regex(t, {q}) AS gaps, regexp_extract_all(t, {q}) AS hits FROM m WHERE regexp_matches(t, {q})")
+            each.append(f"SELECT doc_id, text, {i} AS lint, {_lit(kind)} AS error_type, {k} AS rule_no, {_lit(by)} AS repl, string_split_regex(t, {q}) AS gaps, regexp_extract_all(t, {q}) AS hits FROM m WHERE regexp_matches(t, {q})")
     return f"""WITH m AS (SELECT doc_id, text, {MASK} AS t FROM documents), e AS ({" UNION ALL ".join(each)}),
-r AS (SELECT doc_id, text, lint, error_type, rule_no, by, unnest(gaps[:len(hits)]) AS gap, unnest(hits) AS hit, unnest(generate_series(0, len(hits) - 1)) AS match_no FROM e),
+r AS (SELECT doc_id, text, lint, error_type, rule_no, repl, unnest(gaps[1:len(hits)]) AS gap, unnest(hits) AS hit, unnest(generate_series(0, len(hits) - 1)) AS match_no FROM e),
 s AS (SELECT *, coalesce(sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, lint, rule_no ORDER BY match_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(gap) AS start FROM r),
-p AS (SELECT doc_id, lint, error_type, rule_no, match_no, start::BIGINT AS start, by, substring(text, start::BIGINT + 1, length(hit)) AS text,
+p AS (SELECT doc_id, lint, error_type, rule_no, match_no, start::BIGINT AS start, repl, substring(text, start::BIGINT + 1, length(hit)) AS text,
   len(string_split(left(text, start::BIGINT), chr(10))) - 1 AS line, length(string_split(left(text, start::BIGINT), chr(10))[-1]) AS "column" FROM s)"""
 
 
@@ -213,7 +213,7 @@ def lint_positions(spark, sf_dir):
     return lint.scan(_docs(spark, sf_dir), rules.SPACING_RULES, False, ("doc_id",)).select("doc_id", "rule_no", "match_no", "start", "line", "column", "text")
 
 
-_ERRORS = _positions_sql(lint.MARKDOWN) + """, x AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY lint, rule_no, match_no) AS ord FROM p WHERE text <> by)"""
+_ERRORS = _positions_sql(lint.MARKDOWN) + """, x AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY lint, rule_no, match_no) AS ord FROM p WHERE text <> repl)"""
 
 
 @query(_ERRORS + ' SELECT doc_id, ord, error_type, line + 1 AS line_num, "column" + 1 AS "column", text FROM x WHERE ord <= 10')

@@ -10,13 +10,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inkmill.functions import text as tx
 
 
 def find_files(spark: SparkSession, folder: str, pattern: str = "*.pdf", content: bool = True) -> DataFrame:
     """path, length, modificationTime (and content) of the files below a folder whose names
-    fit the pattern, by path. A folder that is not there: no rows."""
+    fit the pattern, by path. A folder that is not there: no rows; empty files hold nothing to
+    extract and are left out."""
     reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
     schema = "path string, modificationTime timestamp, length long, content binary"
     at = spark._jvm.org.apache.hadoop.fs.Path(folder)
@@ -29,9 +31,9 @@ def find_files(spark: SparkSession, folder: str, pattern: str = "*.pdf", content
 
 def read_texts(spark: SparkSession, folder: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
     """path, text of whole UTF-8 files. A path that is not there is an error."""
-    reader = spark.read.option("wholetext", "true").option("pathGlobFilter", pattern)
+    reader = spark.read.option("pathGlobFilter", pattern)
     reader = reader.option("recursiveFileLookup", "true") if recursive else reader
-    return reader.text(folder).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return reader.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def relative_path(path: Column, root: str) -> Column:
@@ -48,7 +50,7 @@ def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./\\]*)$", 1))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def yaml_to_json(texts: pd.Series) -> pd.Series:
     """YAML (safe subset) as JSON; null for what is not YAML. Dates become text."""
     import yaml
@@ -193,7 +195,7 @@ def extract(files: DataFrame, methods: Sequence[str | Backend] = ("pymupdf", "py
 
 
 # --- HTML -------------------------------------------------------------------------------
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_text(pages: pd.Series) -> pd.Series:
     """The text of HTML without scripts and styles, by the standard library's parser."""
     from html.parser import HTMLParser

@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def write_text(df: DataFrame, folder: str, column: str = "text") -> None:
@@ -26,7 +27,7 @@ def pretty_json(x: Column) -> Column:
     return F.to_json(x, {"pretty": "true"})
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def json_to_yaml(texts: pd.Series) -> pd.Series:
     """Block-style YAML with sorted keys of JSON texts."""
     import yaml

