@@ -82,8 +82,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, p: PositiveUnlabelled) -
 
 
 def select_words(sample: DataFrame, p: PositiveUnlabelled) -> list[str]:
-    """The words whose share among the positives stands out most from that among the
-    unlabelled, in standard errors; counted by Spark, p.words at most reach the driver."""
+    """The words whose share among the positives is most above that among the unlabelled, in
+    standard errors; counted by Spark, p.words at most reach the driver. Words that are rarer
+    among the positives are left out: beside copies and languages they tell nothing."""
     n = {r[0]: r[1] for r in sample.groupBy("positive").count().collect()}
     if not n.get(1) or not n.get(0):
         return []
@@ -91,7 +92,7 @@ def select_words(sample: DataFrame, p: PositiveUnlabelled) -> list[str]:
     count = count.filter(F.col("all") >= p.least_rows)
     share = {1: (F.col("p") + 0.5) / (n[1] + 1), 0: (F.col("all") - F.col("p") + 0.5) / (n[0] + 1)}
     z = (share[1] - share[0]) / F.sqrt(share[0] * (1 - share[0]) / n[0] + share[1] * (1 - share[1]) / n[1])
-    best = count.select("word", F.abs(z).alias("z")).filter(F.col("z") >= p.least_z).orderBy(F.desc("z"), "word").limit(p.words)
+    best = count.select("word", z.alias("z")).filter(F.col("z") >= p.least_z).orderBy(F.desc("z"), "word").limit(p.words)
     return sorted(r.word for r in best.collect())
 
 
