@@ -5,10 +5,13 @@ Python's \\w, \\s, \\d and \\b know Unicode, so patterns carry (?U). Null stays
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inkmill.functions import rules
 
@@ -124,28 +127,36 @@ def clean_content_line(x: C, join_lower: bool = True) -> Column:
 
 _SPLIT_WORDS = r"(?:[A-Z]\s+[a-z]+)|(?:[A-Z]\s+){2,}[A-Z]|[A-Z](?:\s*\n\s*[A-Z])+[A-Z]"
 
+_SPLIT_WORDS_APART = r"(?:[A-Z]\s+[a-z]+)|(?:[A-Z]\s+){2,}[A-Z]|[A-Z](?:\s*[A-Z])+[A-Z]?"
 
-def _fixpoint(y: Column, p: str, most: int) -> Column:
-    """Matches of p without their white space, again until nothing changes, `most` times at most."""
 
-    def once(z: Column) -> Column:
-        found = F.regexp_extract_all(z, F.lit(pattern(p)), F.lit(0))
-        rest = F.split(z, pattern(p), -1)
-        glued = F.transform(found, lambda m: F.regexp_replace(m, F.lit(r"(?U)\s+"), F.lit("")))
-        return F.array_join(F.transform(rest, lambda r, i: F.concat(r, F.coalesce(F.get(glued, i), F.lit("")))), "")
+def _glue(y: Column, p: str, least: int = 0) -> Column:
+    """y with every match of p of at least `least` characters without its white space."""
+    found, rest = F.regexp_extract_all(y, F.lit(pattern(p)), F.lit(0)), F.split(y, pattern(p), -1)
+    glued = F.transform(found, lambda m: F.when(F.length(m) >= least, F.regexp_replace(m, F.lit(r"(?U)\s+"), F.lit(""))).otherwise(m))
+    return F.array_join(F.transform(rest, lambda r, i: F.concat(r, F.coalesce(F.get(glued, i), F.lit("")))), "")
+
+
+def _until_stable(y: Column, once, most: int) -> Column:
+    """once(y), again until nothing changes, `most` times at most; nothing is evaluated after that."""
+    start = F.struct(y.alias("text"), F.lit(False).alias("done"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), y, lambda z, _: F.when(z.rlike(pattern(p)), once(z)).otherwise(z))
+    def step(s: Column, _: Column) -> Column:
+        new = F.transform(F.array(once(s["text"])), lambda z: F.struct(z.alias("text"), (z == s["text"]).alias("done")))
+        return F.when(F.coalesce(s["done"], F.lit(True)), s).otherwise(F.element_at(new, 1))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step, lambda s: s["text"])
 
 
 def join_split_capitals(x: C, most: int = 12) -> Column:
     """Letters on two lines become words apart; spaced capitals and a capital before a
     spaced word are joined until nothing changes."""
-    return _fixpoint(sub(x, r"([A-Za-z])\s*\n\s*([A-Za-z])", r"\1 \2"), _SPLIT_WORDS, most)
+    return _until_stable(sub(x, r"([A-Za-z])\s*\n\s*([A-Za-z])", r"\1 \2"), lambda z: _glue(z, _SPLIT_WORDS), most)
 
 
 def join_split_words(x: C, most: int = 12) -> Column:
     """As join_split_capitals(), but letters on two lines are joined without a space."""
-    return _fixpoint(sub(x, r"([A-Za-z])\s*\n\s*([A-Za-z])", r"\1\2"), r"(?:[A-Z]\s+[a-z]+)|(?:[A-Z]\s+){2,}[A-Z]|[A-Z](?:\s*[A-Z])+[A-Z]?", most)
+    return _until_stable(sub(x, r"([A-Za-z])\s*\n\s*([A-Za-z])", r"\1\2"), lambda z: _glue(z, _SPLIT_WORDS_APART), most)
 
 
 def _spaced_small_words(x: Column, bounded: bool) -> Column:
@@ -166,14 +177,7 @@ def preprocess_text(x: C, bounded: bool = True) -> Column:
 
 
 def fix_spaced_words(x: C) -> Column:
-    p = r"\b(?:[A-Za-z])\s+(?:[A-Za-z])\s+(?:[A-Za-z])(?:\s+[A-Za-z])*\b"
-    return _fixpoint_once(_c(x), p)
-
-
-def _fixpoint_once(y: Column, p: str) -> Column:
-    found, rest = F.regexp_extract_all(y, F.lit(pattern(p)), F.lit(0)), F.split(y, pattern(p), -1)
-    glued = F.transform(found, lambda m: F.when(F.length(m) >= 5, F.regexp_replace(m, F.lit(r"(?U)\s+"), F.lit(""))).otherwise(m))
-    return F.array_join(F.transform(rest, lambda r, i: F.concat(r, F.coalesce(F.get(glued, i), F.lit("")))), "")
+    return _glue(_c(x), r"\b(?:[A-Za-z])\s+(?:[A-Za-z])\s+(?:[A-Za-z])(?:\s+[A-Za-z])*\b", 5)
 
 
 def fix_common_terms(x: C) -> Column:
@@ -189,31 +193,60 @@ def fix_run_together(x: C, lexicon: Iterable[str] = rules.RUN_TOGETHER_WORDS) ->
     return y
 
 
+def run_together_fixer(lexicon: Iterable[str] = rules.RUN_TOGETHER_WORDS):
+    """fix_run_together() as a pandas UDF, for whole columns: its rules never look beyond a run
+    of letters, so each distinct run is mended once instead of in 180 passes over the text."""
+    order = sorted({w for w in lexicon if len(w) >= 3}, key=lambda w: (-len(w), w))
+
+    @F.pandas_udf(T.StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        pairs = [(w, re.compile(f"(?<=[a-zA-Z])({w})"), re.compile(f"({w})(?=[a-zA-Z])")) for w in order]
+        known: dict[str, str] = {}
+
+        def mend(m: re.Match) -> str:
+            word = m[0]
+            if word not in known:
+                if len(known) > 300_000:
+                    known.clear()
+                new = word
+                for w, after, before in pairs:
+                    if w in new:
+                        new = before.sub(r"\1 ", after.sub(r" \1", new))
+                known[word] = new
+            return known[word]
+
+        letters = re.compile("[A-Za-z]{4,}")
+        return texts.map(lambda t: None if t is None else letters.sub(mend, t))
+
+    return run
+
+
 def fix_common_spacing(x: C) -> Column:
     return subs(x, rules.COMMON_SPACING)
 
 
-def clean_paragraph(x: C, level: str = "light") -> Column:
+def clean_paragraph(x: C, level: str = "light", run_together=fix_run_together) -> Column:
     """level none: as it is; basic: spaced words and terms; light, advanced: run-together
-    words and common spacing too. Fewer than five characters: as they are."""
+    words and common spacing too. Fewer than five characters: as they are. On whole columns
+    pass run_together_fixer(), which is faster; inside array functions only expressions work."""
     if level == "none":
         return _c(x)
     y = fix_common_terms(fix_spaced_words(x))
     if level in ("light", "advanced"):
-        y = fix_common_spacing(fix_run_together(y))
+        y = fix_common_spacing(run_together(y))
     return F.when(F.length(_c(x)) < 5, _c(x)).otherwise(y)
 
 
 def clean_content_text(x: C, most: int = 40) -> Column:
     """Rendering clean-up: spaced letters fused in threes (`most` times at most), terms, and
     sixteen words split from what follows them."""
-    p = r"\b([A-Za-z])\s+([A-Za-z])\s+([A-Za-z])"
+    p = pattern(r"\b([A-Za-z])\s+([A-Za-z])\s+([A-Za-z])")
 
-    def fuse(y: Column, _: Column) -> Column:
-        m = F.regexp_extract(y, pattern(p), 0)
-        return F.when(m == "", y).otherwise(F.replace(y, m, F.regexp_replace(m, F.lit(r"(?U)\s+"), F.lit(""))))
+    def fuse(y: Column) -> Column:
+        one = F.transform(F.array(F.regexp_extract(y, p, 0)), lambda m: F.when(m == "", y).otherwise(F.replace(y, m, F.regexp_replace(m, F.lit(r"(?U)\s+"), F.lit("")))))
+        return F.element_at(one, 1)
 
-    y = F.aggregate(F.sequence(F.lit(1), F.lit(most)), ustrip(x), lambda z, i: F.when(z.rlike(pattern(p)), fuse(z, i)).otherwise(z))
+    y = _until_stable(ustrip(x), fuse, most)
     y = subs(y, [(r"D\s*&\s*D", "D&D"), (r"Dungeons\s*&\s*Dragons", "Dungeons & Dragons")])
     y = subs(y, [(rf"\b{w}([a-z])", rf"{w} \1") for w in rules.SPLITTABLE_WORDS])
     return F.when(F.length(_c(x)) < 3, _c(x)).otherwise(ustrip(sub(y, r"\s{2,}", " ")))

@@ -97,7 +97,7 @@ def collapsed_text(spark, sf_dir):
 def cleaned_paragraphs(spark, sf_dir):
     """Every line through the light cleaning: spaced words, terms, run-together words, spacing."""
     rows = segment.split_lines(_docs(spark, sf_dir))
-    return rows.select("doc_id", "line_no", tx.clean_paragraph("text", "light").alias("text"))
+    return rows.select("doc_id", "line_no", tx.clean_paragraph("text", "light", tx.run_together_fixer()).alias("text"))
 
 
 @query()

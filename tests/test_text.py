@@ -103,6 +103,11 @@ def test_continuation(one, line, before, want):
     assert one(lambda a, b: tx.is_continuation(a, b, ignore_case=False), (line, before)) == [want]
 
 
+def test_run_together_forms_agree(one):
+    texts = ["gowith theother dayofthe Xandy", "éthe thethe  a1the", None, "because"]
+    assert one(tx.run_together_fixer(), *texts) == one(tx.fix_run_together, *texts)
+
+
 def test_idempotent(one):
     texts = ["  a  b\n\n\nc•d ", "x.Y z", "é  ü　"]
     for f in (tx.clean_line, tx.collapse_space, tx.clean_extracted_text):
