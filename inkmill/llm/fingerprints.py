@@ -74,9 +74,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.withColumn("fingerprint", fingerprint(piece, leaves(piece)))
 
 
+def _literal(numbers: list[int]) -> Column:
+    """An array literal, however long: parsed once when the plan is folded."""
+    return F.from_json(F.lit(str(numbers)), "array<bigint>")
+
+
 def _place(key: Column, bounds: list[int]) -> Column:
     """How many of the sorted bounds are below key, by binary search in an array literal."""
-    table, steps = F.array(*[F.lit(b) for b in bounds]), [1 << i for i in range(len(bounds).bit_length() - 1, -1, -1)]
+    table, steps = _literal(bounds), [1 << i for i in range(len(bounds).bit_length() - 1, -1, -1)]
 
     def step(at: Column, by: Column) -> Column:
         to = F.least(at + by, F.lit(len(bounds)))
@@ -97,14 +102,14 @@ def with_next_text(spark: SparkSession, docs: DataFrame, buckets: int | None = N
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     cuts = [i / buckets for i in range(1, buckets + 1)]
-    found = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("key")).agg(F.percentile_approx("key", cuts, 50 * buckets), F.max("key")).first()
+    found = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("key")).agg(F.percentile_approx("key", cuts, min(20 * buckets, 1_000_000)), F.max("key")).first()
     bounds = sorted({*(found[0] or []), found[1]} - {None}) or [0]
     # Bucket b holds the keys in (bounds[b - 1], bounds[b]], so bounds[b] is its first key in
     # descending order; it follows the last key of bucket b + 1, or of bucket 0 if b is the top.
     own = F.col("b")
     above = F.when(own + 1 < len(bounds), own + 1).otherwise(F.lit(0))
     home, guest = (F.struct(b.alias("b"), F.lit(g).alias("guest")) for b, g in ((own, False), (above, True)))
-    first = F.element_at(F.array(*[F.lit(b) for b in bounds]), own + 1) == F.col("key")
+    first = F.element_at(_literal(bounds), own + 1) == F.col("key")
     sent = keyed.withColumn("b", _place(F.col("key"), bounds))
     sent = sent.withColumn("to", F.explode(F.when(first, F.array(home, guest)).otherwise(F.array(home))))
     sent = sent.select("key", "doc_id", "text", "to.b", "to.guest")
