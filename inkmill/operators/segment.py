@@ -26,7 +26,8 @@ def raw_lines(docs: DataFrame, key: str = KEY) -> DataFrame:
 
 def split_lines(docs: DataFrame, key: str = KEY, split_long: bool = True) -> DataFrame:
     """key, line_no, text: lines cleaned, empty ones dropped, over-long ones split at sentences."""
-    rows = raw_lines(docs, key).withColumn("text", tx.clean_line("text")).filter("text <> ''")
+    # Blank lines go by the line as it is: a filter on the cleaned line would clean it twice.
+    rows = raw_lines(docs, key).filter(tx.has("text", r"\S")).withColumn("text", tx.clean_line("text"))
     if not split_long:
         return rows
     parts = rows.select(key, F.col(ORDER).alias("at"), F.posexplode(tx.split_long_line("text")).alias("part", "text"))
@@ -42,6 +43,21 @@ def line_stats(rows: DataFrame, key: str = KEY) -> DataFrame:
     )
 
 
+def document_line_stats(docs: DataFrame, key: str = KEY, split_long: bool = True) -> DataFrame:
+    """line_stats() of the cleaned lines of each row of docs (key, text), zeros for rows
+    without lines. Lines stay arrays, so nothing is shuffled."""
+    kept = F.filter(tx.lines("text"), lambda x: tx.has(x, r"\S"))
+    cleaned = F.transform(kept, tx.clean_line)
+    if split_long:
+        long_ = F.exists(cleaned, lambda x: F.length(x) > 2000)
+        cleaned = F.when(long_, F.flatten(F.transform(cleaned, lambda x: tx.split_long_line(x)))).otherwise(cleaned)
+    sizes = docs.select(key, F.transform(F.coalesce(cleaned, F.array().cast("array<string>")), lambda x: F.length(x)).alias("n"))
+    total = F.aggregate("n", F.lit(0).cast("long"), lambda a, n: a + n)
+    return sizes.select(
+        key, F.size("n").cast("long").alias("total_lines"), F.when(F.size("n") > 0, total / F.size("n")).otherwise(0.0).alias("avg_line_length"), F.coalesce(F.array_max("n"), F.lit(0)).alias("max_line_length")
+    )
+
+
 # --- chapters ---------------------------------------------------------------------------
 def chapter_lines(rows: DataFrame, key: str = KEY, spaced_only: bool = True) -> DataFrame:
     """rows (key, line_no, text) with is_chapter, is_sub, chapter_seq (0: front matter),

@@ -54,12 +54,18 @@ TOKENS = r"""SELECT doc_id, pos, token FROM (
 @query(f"""SELECT doc_id, count(*) AS total_lines, avg(length(text)) AS avg_line_length, max(length(text)) AS max_line_length
 FROM ({CLEAN_LINES}) WHERE text <> '' GROUP BY doc_id""")
 def line_stats_unsplit(spark, sf_dir):
-    return segment.line_stats(segment.split_lines(_docs(spark, sf_dir), split_long=False))
+    return segment.document_line_stats(_docs(spark, sf_dir), split_long=False)
+
+
+@query(f"""SELECT doc_id, line_no, length(text) AS n_chars FROM ({CLEAN_LINES}) WHERE text <> ''""")
+def cleaned_lines(spark, sf_dir):
+    """One row per line: the exploded form on which the segmentation works."""
+    return segment.split_lines(_docs(spark, sf_dir), split_long=False).select("doc_id", "line_no", F.length("text").alias("n_chars"))
 
 
 @query()
 def line_stats(spark, sf_dir):
-    return segment.line_stats(segment.split_lines(_docs(spark, sf_dir)))
+    return segment.document_line_stats(_docs(spark, sf_dir))
 
 
 @query(rf"""SELECT doc_id, md5(array_to_string(list_filter(list_transform(string_split(

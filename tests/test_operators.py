@@ -30,6 +30,13 @@ def test_lines_and_stats(spark):
     assert column(segment.line_stats(rows), "total_lines", "avg_line_length", "max_line_length") == [(2, 2.0, 3)]
 
 
+def test_line_stats_forms_agree(spark):
+    df = docs(spark, " a  b \n\n c", "Sentence one is here. " * 150 + "\nx", "", None)
+    got = {r.doc_id: tuple(r)[1:] for r in segment.document_line_stats(df).collect()}
+    rows = {r.doc_id: tuple(r)[1:] for r in segment.line_stats(segment.split_lines(df)).collect()}
+    assert got == rows | {2: (0, 0.0, 0), 3: (0, 0.0, 0)}
+
+
 def test_chapters(spark):
     rows = segment.split_lines(docs(spark, BOOK, "no headings"))
     got = segment.chapters(rows).orderBy("doc_id", "chapter_seq").collect()
