@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkmill.llm._shared import frugal
+
 START, END = "<|im_start|>", "<|im_end|>"
 PLAIN, MARKED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 FORMATTED = "conv_id long, text string, loss array<struct<start:long,end:long>>"
@@ -115,7 +117,7 @@ def format_conversations(rows: DataFrame, learn: str = "assistant") -> DataFrame
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").alias("turn"),
         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
     ).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.select("conv_id", "role", "text").mapInArrow(run, FORMATTED)
+    return ordered.select("conv_id", "role", "text").mapInArrow(frugal(run), FORMATTED)
 
 
 def _formatted(done: list[tuple]) -> pa.RecordBatch:
@@ -150,4 +152,4 @@ def digest_formatted(formatted: DataFrame) -> DataFrame:
                     "loss_chars": pa.array(chars, pa.int64()), "loss_sha256": pa.array(learnt_, pa.string()), "formatted_chars": pa.array(size, pa.int64()),
                 })
 
-    return formatted.select("conv_id", "text", "loss").mapInArrow(run, schema)
+    return formatted.select("conv_id", "text", "loss").mapInArrow(frugal(run), schema)

@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkmill.llm._bytes import BUCKETS, runs, sums, trigrams
-from inkmill.llm._shared import Scratch, lower_ascii, small
+from inkmill.llm._shared import Scratch, frugal, lower_ascii, small
 
 #: Languages of country domains.
 COUNTRY = {"at": "de", "be": "fr", "ch": "de", "de": "de", "es": "es", "fr": "fr", "mx": "es", "uk": "en", "us": "en"}
@@ -75,7 +75,7 @@ def fit(spark: SparkSession, rows: DataFrame, p: Identification) -> tuple[list[s
             yield pa.RecordBatch.from_pydict({"d": pa.array(list(total)), "c": pa.array([c.astype("<i8").tobytes() for c in total.values()], pa.binary())})
 
     counts = np.zeros((len(names), BUCKETS))
-    for d, c in sample.select("d", "text").mapInArrow(count, "d string, c binary").collect():
+    for d, c in sample.select("d", "text").mapInArrow(frugal(count), "d string, c binary").collect():
         counts[names.index(d)] += np.frombuffer(c, "<i8")
     return names, np.log((counts + 0.5) / (counts.sum(1, keepdims=True) + 0.5 * BUCKETS))
 
@@ -101,7 +101,7 @@ def text_evidence(rows: DataFrame, model: np.ndarray, p: Identification) -> Data
             ll *= (np.minimum(n, p.evidence) / np.maximum(n, 1))[:, None]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n), pa.array(list(ll), pa.list_(pa.float64()))], names=[*names, "n", "ll"])
 
-    return rows.select(*names, "text").mapInArrow(run, schema)
+    return rows.select(*names, "text").mapInArrow(frugal(run), schema)
 
 
 def _softmax(score: Column) -> Column:

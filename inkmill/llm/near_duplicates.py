@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,14 +25,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
-from inkmill.llm._shared import Scratch, small
+from inkmill.llm._shared import Scratch, frugal, small
 from inkmill.llm.graph import connected_components
 
-SPACE = re.compile(r"[\x20\x09-\x0D]+")
-LOWER = {c: c + 32 for c in range(65, 91)}
-
-
 @dataclass(frozen=True)
 class NearDuplicates:
     """words per shingle; percent of similarity; bands of rows; miss probability of the
@@ -51,33 +47,20 @@ class NearDuplicates:
     seed: int = 7
 
 
-def _word_hash(word: str) -> int:
-    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-
-
-class _Words(dict):
-    """word -> 64-bit hash; emptied when full, so memory stays bounded."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= 500_000:
-            self.clear()
-        h = self[word] = _word_hash(word)
-        return h
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(32))
 
 
-def shingle_set(text: str | None, size: int, known: dict[str, int]) -> np.ndarray:
-    """The distinct shingles of a text as sorted 64-bit hashes. Fewer words than `size`:
-    the whole sequence is one shingle; no words: none."""
-    words = [w for w in SPACE.split((text or "").translate(LOWER)) if w]
+def shingle_set(text: bytes, size: int) -> np.ndarray:
+    """The distinct shingles of a text (UTF-8) as sorted 64-bit hashes. Words are lower-cased
+    in A-Z and parted by ASCII white space, which is what bytes.lower() and split() do. Fewer
+    words than `size`: the whole sequence is one shingle; no words: none."""
+    words = text.lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
     k = min(size, len(h))
     out = np.full(len(h) - k + 1, k, np.uint64)
     for i in range(k):
@@ -85,6 +68,10 @@ def shingle_set(text: str | None, size: int, known: dict[str, int]) -> np.ndarra
     return np.unique(out)
 
 
+def _sets(column: pa.Array, size: int) -> list[np.ndarray]:
+    return [shingle_set(t.as_buffer().to_pybytes() if t.is_valid else b"", size) for t in column]
+
+
 def _parameters(p: NearDuplicates) -> tuple[np.ndarray, np.ndarray]:
     r = np.random.default_rng(p.seed)
     n = p.bands * p.rows
@@ -123,11 +110,11 @@ def sign(docs: DataFrame, p: NearDuplicates) -> DataFrame:
     """doc_id, n_shingles, set_key (of equal sets), sig, keys (one per band)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, (a, b) = _Words(), _parameters(p)
+        a, b = _parameters(p)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                sets = [shingle_set(t.as_py(), p.words, known) for t in part.column(1)]
+                sets = _sets(part.column(1), p.words)
                 full = [s for s in sets if len(s)]
                 sig = _signatures(full, a, b)
                 keys = _band_keys(sig, p)
@@ -141,7 +128,7 @@ def sign(docs: DataFrame, p: NearDuplicates) -> DataFrame:
                     "keys": pa.array([None if i is None else keys[i] for i in k], pa.list_(pa.int64())),
                 })
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SIGNED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(run), SIGNED)
 
 
 def least_matches(p: NearDuplicates) -> list[tuple[int, int]]:
@@ -186,22 +173,21 @@ def prune(pairs: DataFrame, signatures: DataFrame, p: NearDuplicates) -> DataFra
 
     x, y = (signatures.select(F.col("id").alias(k), F.col("sig").alias(f"sig_{k}")) for k in ("ix", "iy"))
     both = pairs.join(x, F.col("member") == F.col("ix")).join(y, F.col("pivot") == F.col("iy"))
-    return both.select("member", "pivot", "sig_ix", "sig_iy").mapInArrow(run, "member long, pivot long, equal long")
+    return both.select("member", "pivot", "sig_ix", "sig_iy").mapInArrow(frugal(run), "member long, pivot long, equal long")
 
 
 def set_table(docs: DataFrame, ids: DataFrame, p: NearDuplicates) -> DataFrame:
     """id, shingles (sorted hashes as bytes) of the documents named in ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Words()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                sets = [shingle_set(t.as_py(), p.words, known).tobytes() for t in part.column(1)]
+                sets = [s.tobytes() for s in _sets(part.column(1), p.words)]
                 yield pa.RecordBatch.from_pydict({"id": part.column(0), "shingles": pa.array(sets, pa.binary())})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.join(small(ids), F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(run, "id long, shingles binary")
+    return texts.join(small(ids), F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(frugal(run), "id long, shingles binary")
 
 
 def exact_links(pairs: DataFrame, sets: DataFrame, p: NearDuplicates) -> DataFrame:
@@ -223,7 +209,7 @@ def exact_links(pairs: DataFrame, sets: DataFrame, p: NearDuplicates) -> DataFra
 
     x, y = (sets.select(F.col("id").alias(k), F.col("shingles").alias(f"set_{k}")) for k in ("ix", "iy"))
     both = pairs.join(x, F.col("member") == F.col("ix")).join(y, F.col("pivot") == F.col("iy"))
-    return both.select("member", "pivot", "set_ix", "set_iy").mapInArrow(run, "a long, b long")
+    return both.select("member", "pivot", "set_ix", "set_iy").mapInArrow(frugal(run), "a long, b long")
 
 
 def _with_component(df: DataFrame, key: str, parts: DataFrame, name: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkmill.llm._shared import Scratch, small
+from inkmill.llm._shared import Scratch, frugal, small
 
 FEATURES = ("length", "letters", "digits", "symbols", "upper", "spaces", "lines", "word_length", "repeated_words", "repeated_lines", "packed")
 
@@ -67,7 +67,7 @@ def features(docs: DataFrame) -> DataFrame:
             rows = [surface(t.as_py()) for t in batch.column(len(names))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, pa.list_(pa.float64()))], names=[*names, "features"])
 
-    return docs.select(*names, "text").mapInArrow(run, schema)
+    return docs.select(*names, "text").mapInArrow(frugal(run), schema)
 
 
 def fit(x: np.ndarray, y: np.ndarray, p: QualityModel) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:

@@ -29,7 +29,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkmill.llm._shared import Scratch
+from inkmill.llm._shared import Scratch, frugal
 
 MAGIC = b"INKTOK01"
 #: White space at which every text may be cut before tokenization (see encoder()), and such
@@ -83,7 +83,7 @@ class _Cache(dict):
             self.clear()
 
 
-def encoder(tokenizer_path: str, width: int, most: int = 300_000):
+def encoder(tokenizer_path: str, width: int, most: int = 200_000):
     """text -> its ids as bytes.
 
     A tokenizer whose rules drop white space and never join across it, as those of the
@@ -206,7 +206,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         .sortWithinPartitions("doc_id", "text")
     )
     # One row per part: bounded by the number of partitions, not by the documents.
-    totals = sorted(ordered.mapInArrow(encode_part, "part int, docs long, ids long").collect())
+    totals = sorted(ordered.mapInArrow(frugal(encode_part), "part int, docs long, ids long").collect())
     parts, base = [], 0
     for part, n, ids_ in totals:
         parts.append((part, base, n, ids_))
@@ -260,7 +260,7 @@ def read_token_files(spark: SparkSession, files: TokenFiles) -> DataFrame:
                     yield _batch(found)
 
     return (
-        spark.createDataFrame(rows, "part int, base long").repartition(len(rows)).mapInArrow(digest, schema)
+        spark.createDataFrame(rows, "part int, base long").repartition(len(rows)).mapInArrow(frugal(digest), schema)
     )
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkmill.llm._shared import Scratch
+from inkmill.llm._shared import Scratch, frugal
 
 TOKEN = re.compile(r"[^\W\d_]+")
 
@@ -78,7 +78,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, p: PositiveUnlabelled) -
                 yield pa.RecordBatch.from_pydict({"positive": part.column(0), "words": pa.array(words, pa.list_(pa.string()))})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, F.col("doc_id") == F.col("i"))
-    return texts.select("positive", "text").mapInArrow(run, "positive int, words array<string>"), prior
+    return texts.select("positive", "text").mapInArrow(frugal(run), "positive int, words array<string>"), prior
 
 
 def select_words(sample: DataFrame, p: PositiveUnlabelled) -> list[str]:
@@ -110,7 +110,7 @@ def design(sample: DataFrame, words: list[str]) -> tuple[np.ndarray, np.ndarray]
                 bits.append(np.packbits(x).tobytes())
             yield pa.RecordBatch.from_pydict({"positive": batch.column(0), "bits": pa.array(bits, pa.binary())})
 
-    table = sample.select("positive", "words").mapInArrow(run, "positive int, bits binary").orderBy("positive", "bits").toArrow()
+    table = sample.select("positive", "words").mapInArrow(frugal(run), "positive int, bits binary").orderBy("positive", "bits").toArrow()
     y = np.array(table.column(0).to_pylist(), bool)
     bits = np.frombuffer(b"".join(table.column(1).to_pylist()), np.uint8).reshape(len(y), -1)
     return np.unpackbits(bits, axis=1, count=len(words)).astype(np.float32), y
@@ -162,7 +162,7 @@ def score(docs: DataFrame, weights: dict[str, float], bias: float) -> DataFrame:
                 out[i] = 1 / (1 + np.exp(-np.clip(bias + sum(weights[w] for w in sorted(found)), -30, 30)))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "score": pa.array(out)})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(run), "doc_id long, score double")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, p: PositiveUnlabelled = PositiveUnlabelled()) -> DataFrame:
