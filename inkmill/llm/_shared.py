@@ -58,8 +58,9 @@ class Scratch:
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """df, marked for broadcast if a count finds it within `most` rows; else as it is,
-    so that the join shuffles. df should be a written table: the count runs now."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    so that the join shuffles. df should be a written table: the count runs now, and of
+    Parquet it reads the footers only. Callers lower `most` for wider rows."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def lower_ascii(text: Column) -> Column:

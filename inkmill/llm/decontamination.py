@@ -61,7 +61,7 @@ def build_index(docs: DataFrame, windows: Windows, scratch: Scratch) -> DataFram
         F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"),
         F.concat(words(F.col("text")), F.array(F.lit(END))).alias("words"),
     ).select("rid", "doc_id", F.posexplode("words").alias("pos", "word"))
-    hit = rows.join(small(windows.term), F.col("word") == F.col("term")).select("rid", "doc_id", "pos", "tid")
+    hit = rows.join(small(windows.term, 500_000), F.col("word") == F.col("term")).select("rid", "doc_id", "pos", "tid")
     return scratch.write(hit, "index")
 
 
@@ -96,7 +96,7 @@ def phrase_matches(index: DataFrame, windows: Windows, scratch: Scratch, most: i
     lead = starts(index, anchor.filter("rank <= 2")).filter(F.col("agreed") == F.least(F.col("ranks"), F.lit(2)))
     candidate = scratch.write(lead.select("rid", "wid", "start"), "candidates")
     one = windows.window.select(F.col("wid").alias("v"), "n", "tids", "items")
-    asked = candidate.join(small(one), F.col("wid") == F.col("v")).groupBy("rid").agg(F.collect_list(F.struct("start", "n", "tids", "items")).alias("asked"))
+    asked = candidate.join(small(one, 100_000), F.col("wid") == F.col("v")).groupBy("rid").agg(F.collect_list(F.struct("start", "n", "tids", "items")).alias("asked"))
     ids = scratch.write(candidate.select(F.col("rid").alias("r")).distinct(), "candidate-rows")
     posting = index.filter("tid > 0").join(small(ids), F.col("rid") == F.col("r"), "left_semi")
     lists = posting.groupBy(F.col("rid").alias("q")).agg(F.array_sort(F.collect_list(F.struct("pos", "tid"))).alias("list"))
@@ -119,7 +119,7 @@ def proximity_matches(index: DataFrame, windows: Windows, scratch: Scratch, slop
     shifted = index.withColumn("pos", F.col("pos") + (slop + 1) // 2)
     near = starts(index, anchor, slop).unionByName(starts(shifted, anchor, slop)).filter(F.col("agreed") == F.col("ranks"))
     items = windows.window.select(F.col("wid").alias("v"), F.explode("items").alias("item_id"))
-    return near.join(small(items), F.col("wid") == F.col("v")).select("rid", "item_id").distinct()
+    return near.join(small(items, 300_000), F.col("wid") == F.col("v")).select("rid", "item_id").distinct()
 
 
 def _covered(found: Column) -> Column:

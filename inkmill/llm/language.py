@@ -164,7 +164,7 @@ def identify(spark: SparkSession, rows: DataFrame, p: Identification = Identific
     index = lambda c: F.array_position(F.array(*[F.lit(n) for n in names]), F.col(c)).cast("int")
     table = lambda t: F.array(*[array(r) for r in t])
     of = lambda c, t: F.coalesce(F.try_element_at(table(t), F.nullif(index(c), F.lit(0))), array([0.0] * (k + 1)))
-    at = told.join(small(priors), F.col("host").eqNullSafe(F.col("h")) & F.col("domain").eqNullSafe(F.col("hd")), "left")
+    at = told.join(small(priors, 100_000), F.col("host").eqNullSafe(F.col("h")) & F.col("domain").eqNullSafe(F.col("hd")), "left")
     prior = F.transform(F.coalesce("hp", array(whole)), lambda x: F.log(x))
     known = (F.col("n") > 0) | F.col("declared").isin(names) | F.col("address").isin(names)
     at = at.withColumn("post", _softmax(add(add(add(F.col("ll"), prior), of("declared", trust)), of("address", hint))))

@@ -123,7 +123,7 @@ def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, p: QualityM
         F.col("host").alias("h"), F.col("path").alias("q"), shrink(F.col("s"), F.col("n"), shrink(F.col("hs"), F.col("hn"), F.lit(rate))).alias("site")
     )
     sites = scratch.write(sites, "sites")
-    at = rows.join(small(sites), F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("q")), "left")
+    at = rows.join(small(sites, 300_000), F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("q")), "left")
     site = F.coalesce("site", F.lit(rate))
     at = at.select("doc_id", logit.alias("evidence"), site.alias("site_rate"))
     odds = F.col("evidence") + F.lit(p.site) * (F.log(F.col("site_rate") / (1 - F.col("site_rate"))) - F.lit(float(np.log(rate / (1 - rate)))))

@@ -39,3 +39,14 @@ def test_empty(spark):
         assert docs.count() == 0
         if "text" not in docs.columns:
             break
+
+
+def test_odd_rows_and_clashing_columns(spark):
+    names = ["_gone", "row", "key", "times", "copy", "sig", "n", "part", "s_", "id", "rid", "declared"]
+    data = [(1, "the house and the garden", "en", "a"), (1, "the house and the garden", "en", "a"), (2, None, None, None), (3, "", "en", "a"), (None, "the river and the town", "en", None), (4, "x" * 50_000, "en", "b")]
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), *range(len(names))) for r in data], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+    for _, stage in cp.STAGES[:-1]:
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns
+        assert set(map(tuple, got.collect())) <= set(map(tuple, docs.collect()))
+    assert cp.token_files(spark, docs, SF).count() == len(data)
