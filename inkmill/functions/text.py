@@ -107,7 +107,9 @@ def collapse_spaced_letters(x: C) -> Column:
             F.struct(F.array_append(flush(s), w).alias("done"), F.lit("").alias("run"))
         )
 
-    return F.array_join(F.aggregate(words(x), start, step, flush), " ")
+    fold = F.array_join(F.aggregate(words(x), start, step, flush), " ")
+    # Few lines have a single letter at all; the others are only put in order.
+    return F.when(has(x, r"(?:^|\s)\p{L}(?:\s|\z)"), fold).otherwise(ustrip(sub(x, r"\s+", " ")))
 
 
 def _fuse(x: Column, p: str, least: int) -> Column:

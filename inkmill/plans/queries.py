@@ -14,7 +14,7 @@ from inkmill.functions import rules
 from inkmill.functions import text as tx
 from inkmill.operators import correct, lint, quality, segment, structure, tables
 from inkmill.plans import pipeline, render
-from inkmill.sources.files import html_text, markdown_text
+from inkmill.sources.files import html_text, markdown_text, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,7 +32,8 @@ def query(sql: str | None = None):
 
 
 def _docs(spark: SparkSession, sf_dir: str, name: str = "documents", *columns: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*(columns or ("doc_id", "text")))
+    columns = columns or ("doc_id", "text")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns), columns[0])
 
 
 def _lit(s: str) -> str:

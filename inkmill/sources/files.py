@@ -36,6 +36,14 @@ def read_texts(spark: SparkSession, folder: str, pattern: str = "*", recursive:
     return reader.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df, dealt by key over all cores if it has fewer files than there are cores: one small
+    file is one task otherwise. Windows and groups by the key then need no shuffle of their
+    own. Tables of many files stay as they are."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= n else df.repartition(n, key)
+
+
 def relative_path(path: Column, root: str) -> Column:
     """The part of a path below root, for outputs that mirror their inputs."""
     clean = root.rstrip("/").split("://")[-1]
