@@ -1,54 +1,74 @@
 """Operator 10: toxicity by non-negative positive-unlabelled learning.
 
 Confirmed toxic documents are the positives; everything else is unlabelled, and holds a
-share `prior` of toxic documents too. A linear model on the presence of words is fitted in
-numpy under the non-negative risk  prior * R(p, +) + max(0, R(u, -) - prior * R(p, -)).
+share `prior` of toxic documents too. A linear model on the presence of hashed words and
+byte n-grams within them is fitted in numpy under the non-negative risk
+prior * R(p, +) + max(0, R(u, -) - prior * R(p, -)). No feature is chosen or left out: each
+weighs by the logarithm of its share among positives over that in the corpus, shrunk by
+pseudo-counts, so rare and inflected forms count together through the n-grams they share.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkmill.llm._bytes import FOLD, runs
 from inkmill.llm._shared import Scratch, frugal
 
-TOKEN = re.compile(r"[^\W\d_]+")
+BITS = 18
+GRAMS = (4, 5, 6)
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
 @dataclass(frozen=True)
 class PositiveUnlabelled:
-    """Most positive and unlabelled documents to fit on (the smallest by hash of the id), most
-    words of the model, rows a word must have and standard errors by which it must stand out,
-    Adam's steps and rate, weight decay."""
+    """Most positive and unlabelled documents to fit on (the smallest by hash of the id),
+    pseudo-count of a feature's shares, unlabelled documents of a step, steps, their rate and
+    momentum, weight decay."""
 
     positives: int = 8_000
     unlabelled: int = 16_000
-    words: int = 400
-    least_rows: int = 5
-    least_z: float = 4.0
+    pseudo: float = 10.0
+    batch: int = 500
     steps: int = 400
-    rate: float = 0.05
+    rate: float = 0.3
+    momentum: float = 0.9
     decay: float = 1e-4
 
 
-class _Tokens(dict):
-    """Run between white space -> its words; emptied when full."""
-
-    def __missing__(self, run: str) -> tuple[str, ...]:
-        if len(self) >= 300_000:
-            self.clear()
-        found = self[run] = tuple(TOKEN.findall(run.lower()))
-        return found
-
-
-def word_set(text: str | None, known: _Tokens) -> set[str]:
-    return {w for run in set((text or "").split()) for w in known[run]}
+def features(column: pa.Array) -> Iterator[np.ndarray]:
+    """Per text, the distinct buckets of its words and of the byte n-grams in them, each word
+    with a space at both ends. Letters of any script are lower-cased."""
+    last = np.zeros(1 << BITS, np.int64)
+    for _, data, offsets in runs(pc.utf8_lower(pc.fill_null(column, "")), 1 << 18):
+        rows = len(offsets) - 1
+        x = np.full(len(data) + rows + 1, 32, np.uint8)
+        x[np.arange(len(data)) + np.repeat(np.arange(1, rows + 1), np.diff(offsets))] = FOLD[data]
+        edge = offsets + np.arange(rows + 1)
+        # Prefix sums of a polynomial modulo 2^64: any slice's hash is one difference.
+        total = np.append(np.uint64(0), np.cumsum((x + np.uint64(1)) * np.cumprod(np.full(len(x), _BASE, np.uint64))))
+        back = np.cumprod(np.full(len(x), _INVERSE, np.uint64))
+        spaces = np.append(0, np.cumsum(x == 32))
+        gap = np.flatnonzero(x == 32)
+        starts = [(s := np.arange(max(len(x) - g + 1, 0)))[spaces[s + g - 1] == spaces[s + 1]] for g in GRAMS]
+        word = np.diff(gap) > 1
+        slices = [*((s, s + g) for s, g in zip(starts, GRAMS)), (gap[:-1][word], gap[1:][word] + 1)]
+        codes = [(((total[e] - total[s]) * back[s] * _MIX) >> np.uint64(64 - BITS)).astype(np.uint32) for s, e in slices]
+        cuts = [np.searchsorted(s, edge) for s, _ in slices]
+        for r in range(rows):
+            h = np.concatenate([c[at[r] : at[r + 1]] for c, at in zip(codes, cuts)])
+            i = np.arange(len(h))
+            last[h] = i
+            yield h[last[h] == i]
 
 
 def held_out(doc_id) -> F.Column:
@@ -56,9 +76,9 @@ def held_out(doc_id) -> F.Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, p: PositiveUnlabelled) -> tuple[DataFrame, float]:
-    """(positive, words) rows of a bounded sample outside the held-out rows, and the prior:
-    the share of toxic labels among labelled rows. An id labelled more than once is toxic if
-    one label says so. Rows with null id or label are not learnt from."""
+    """(positive, key, features) rows of a bounded sample outside the held-out rows, and the
+    prior: the share of toxic labels among labelled rows. An id labelled more than once is toxic
+    if one label says so. Rows with null id or label are not learnt from."""
     known = labels.filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     prior = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
@@ -70,97 +90,98 @@ def training_sample(docs: DataFrame, labels: DataFrame, p: PositiveUnlabelled) -
     chosen = F.broadcast(positive.unionByName(other).withColumnRenamed("doc_id", "i"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _Tokens()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                words = [sorted(word_set(t.as_py(), cache)) for t in part.column(1)]
-                yield pa.RecordBatch.from_pydict({"positive": part.column(0), "words": pa.array(words, pa.list_(pa.string()))})
+                found = [np.sort(f).tobytes() for f in features(part.column(2))]
+                yield pa.RecordBatch.from_pydict({"positive": part.column(0), "key": part.column(1), "features": pa.array(found, pa.binary())})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, F.col("doc_id") == F.col("i"))
-    return texts.select("positive", "text").mapInArrow(frugal(run), "positive int, words array<string>"), prior
-
+    key = F.xxhash64("doc_id", F.lit(31)).alias("key")
+    return texts.select("positive", key, "text").mapInArrow(frugal(run), "positive int, key long, features binary"), prior
 
-def select_words(sample: DataFrame, p: PositiveUnlabelled) -> list[str]:
-    """The words whose share among the positives is most above that among the unlabelled, in
-    standard errors; counted by Spark, p.words at most reach the driver. Words that are rarer
-    among the positives are left out: beside copies and languages they tell nothing."""
-    n = {r[0]: r[1] for r in sample.groupBy("positive").count().collect()}
-    if not n.get(1) or not n.get(0):
-        return []
-    count = sample.select("positive", F.explode("words").alias("word")).groupBy("word").agg(F.sum("positive").alias("p"), F.count("*").alias("all"))
-    count = count.filter(F.col("all") >= p.least_rows)
-    share = {1: (F.col("p") + 0.5) / (n[1] + 1), 0: (F.col("all") - F.col("p") + 0.5) / (n[0] + 1)}
-    z = (share[1] - share[0]) / F.sqrt(share[0] * (1 - share[0]) / n[0] + share[1] * (1 - share[1]) / n[1])
-    best = count.select("word", z.alias("z")).filter(F.col("z") >= p.least_z).orderBy(F.desc("z"), "word").limit(p.words)
-    return sorted(r.word for r in best.collect())
 
-
-def design(sample: DataFrame, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Presence of the words in each row of the sample, and whether it is positive. Rows come
-    as packed bits, so the driver gets len(words) / 8 bytes for each of a bounded number."""
-    place = {w: i for i, w in enumerate(words)}
+def corpus_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """Rows that hold each feature, and rows, of all docs that are learnt from. The driver gets
+    one number per bucket; each task adds up its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((1 << BITS) + 1, np.int64)
         for batch in batches:
-            bits = []
-            for row in batch.column(1):
-                x = np.zeros(len(place), bool)
-                x[[place[w] for w in row.as_py() if w in place]] = True
-                bits.append(np.packbits(x).tobytes())
-            yield pa.RecordBatch.from_pydict({"positive": batch.column(0), "bits": pa.array(bits, pa.binary())})
-
-    table = sample.select("positive", "words").mapInArrow(frugal(run), "positive int, bits binary").orderBy("positive", "bits").toArrow()
-    y = np.array(table.column(0).to_pylist(), bool)
-    bits = np.frombuffer(b"".join(table.column(1).to_pylist()), np.uint8).reshape(len(y), -1)
-    return np.unpackbits(bits, axis=1, count=len(words)).astype(np.float32), y
-
-
-def fit(x: np.ndarray, y: np.ndarray, prior: float, p: PositiveUnlabelled) -> tuple[np.ndarray, float]:
-    """Weights and bias by Adam on the non-negative risk; where the negative part of the risk
-    falls below zero, its gradient is reversed."""
+            for f in features(batch.column(0)):
+                n[f] += 1
+            n[-1] += batch.num_rows
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_pydict({"feature": pa.array(at, pa.int32()), "n": pa.array(n[at])})
+
+    rows = docs.filter("doc_id is not null").filter(~held_out(F.col("doc_id").cast("long"))).select("text")
+    counted = rows.mapInArrow(frugal(run), "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros((1 << BITS) + 1, np.int64)
+    n[counted.column(0).to_numpy()] = counted.column(1).to_numpy()
+    return n[:-1], int(n[-1])
+
+
+def design(sample: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
+    """The features of each row of the sample in order of its key, and whether it is positive;
+    one partition of the sample after the other reaches the driver."""
+    rows = [(r.key, bytes(r.features), r.positive) for r in sample.toLocalIterator()]
+    rows.sort()
+    return [np.frombuffer(f, np.uint32) for _, f, _ in rows], np.array([y for _, _, y in rows], bool)
+
+
+def evidence(x: list[np.ndarray], y: np.ndarray, counts: np.ndarray, rows: int, p: PositiveUnlabelled) -> np.ndarray:
+    """Per feature, the logarithm of the positives that hold it over those that would if they
+    were like the corpus, with pseudo-counts."""
+    n = np.zeros(1 << BITS)
+    for i in np.flatnonzero(y):
+        n[x[i]] += 1
+    return np.log((n + p.pseudo) / (counts * (y.sum() / max(rows, 1)) + p.pseudo))
+
+
+def fit(x, y: np.ndarray, prior: float, p: PositiveUnlabelled, scale: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Weights and bias by gradient steps with momentum on the non-negative risk of parts of the
+    sample, averaged over the later half; where the negative part of the risk falls below zero,
+    its gradient is reversed. x holds the features of each row, scale a value of each feature."""
     bias = float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
-    if not x.size or not y.any() or y.all():
-        return np.zeros(x.shape[1] if x.ndim == 2 else 0), bias
-    xp, xu = x[y], x[~y]
-    w, b = np.zeros(x.shape[1]), bias
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+    scale = np.ones(1 << BITS) if scale is None else scale
+    w, v, mean = (np.zeros(len(scale)) for _ in range(3))
+    if not y.any() or y.all():
+        return w, bias
+    positive, other = np.flatnonzero(y), np.flatnonzero(~y)
+    parts = max(1, min(len(other) // p.batch, len(positive) // 8))
+    split = lambda rows, k: rows[len(rows) * k // parts : len(rows) * (k + 1) // parts]
     sigmoid = lambda s: 1 / (1 + np.exp(-np.clip(s, -30, 30)))
-    part = lambda x_, g: np.append(x_.T @ g, g.sum()) / len(g)
-    for t in range(1, p.steps + 1):
-        sp, su = xp @ w + b, xu @ w + b
-        gp, gu = sigmoid(sp), sigmoid(su)
-        negative = np.logaddexp(0, su).mean() - prior * np.logaddexp(0, sp).mean()
+    b, vb, mean_b = bias, 0.0, 0.0
+    for t in range(p.steps):
+        xp, xu = ([x[i] for i in split(rows, t % parts)] for rows in (positive, other))
+        found = np.concatenate(xp + xu)
+        size = np.array([len(f) for f in xp + xu])
+        ends = np.cumsum(size)
+        total = np.append(0, np.cumsum((w * scale)[found]))
+        s = total[ends] - total[ends - size] + b
+        sp, su = s[: len(xp)], s[len(xp) :]
         # d/ds softplus(-s) = sigmoid(s) - 1; d/ds softplus(s) = sigmoid(s)
-        grad = part(xu, gu) - prior * part(xp, gp)
-        grad = prior * part(xp, gp - 1) + grad if negative >= 0 else -grad
-        grad[:-1] += p.decay * w
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-        step = p.rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
-    return w, float(b)
-
-
-def score(docs: DataFrame, weights: dict[str, float], bias: float) -> DataFrame:
-    """doc_id, score of every row of docs (doc_id, text); the weights are bounded in number."""
+        gp, gu = prior * sigmoid(sp) / len(sp), sigmoid(su) / len(su)
+        if np.logaddexp(0, su).mean() - prior * np.logaddexp(0, sp).mean() >= 0:
+            g = np.append(np.full(len(sp), -prior / len(sp)), gu)
+        else:
+            g = np.append(gp, -gu)
+        grad = np.bincount(found, np.repeat(g, size), len(scale)) * scale + p.decay * w
+        v, vb = p.momentum * v - p.rate * grad, p.momentum * vb - p.rate * g.sum()
+        w, b = w + v, b + vb
+        if t >= p.steps // 2:
+            mean, mean_b = mean + w, mean_b + b
+    n = p.steps - p.steps // 2
+    return mean / n * scale, float(mean_b / n)
+
+
+def score(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
+    """doc_id, score of every row of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _Tokens()
-        told: dict[str, tuple[str, ...]] = {}
         for batch in batches:
-            out = np.empty(batch.num_rows)
-            for i, text in enumerate(batch.column(1)):
-                found: set[str] = set()
-                for run_ in set((text.as_py() or "").split()):
-                    words = told.get(run_)
-                    if words is None:
-                        if len(told) > 500_000:
-                            told.clear()
-                        words = told[run_] = tuple(w for w in cache[run_] if w in weights)
-                    if words:
-                        found.update(words)
-                out[i] = 1 / (1 + np.exp(-np.clip(bias + sum(weights[w] for w in sorted(found)), -30, 30)))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "score": pa.array(out)})
+            s = np.array([weights[np.sort(f)].sum() for f in features(batch.column(1))]) + bias
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "score": pa.array(1 / (1 + np.exp(-np.clip(s, -30, 30))), pa.float64())})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(run), "doc_id long, score double")
 
@@ -173,9 +194,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, p: Positiv
     result each. Without a positive example every score is the prior. Empty table: no rows.
     """
     sample, prior = training_sample(docs, labels, p)
-    sample = Scratch(spark, "toxicity").write(sample, "sample")
-    words = select_words(sample, p)
-    w, bias = fit(*(design(sample, words) if words else (np.empty((0, 0)), np.empty(0, bool))), prior, p)
-    weights = {word: float(x) for word, x in zip(words, w)}
-    scored = score(docs, weights, bias)
+    x, y = design(Scratch(spark, "toxicity").write(sample, "sample"))
+    scale = evidence(x, y, *corpus_counts(docs), p) if y.any() else None
+    scored = score(docs, *fit(x, y, prior, p, scale))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -256,3 +256,18 @@ def test_quality_of_odd_rows(spark):
     assert quality(spark, document_sites(docs), labels).count() == len(ODD)
     assert {r.score for r in quality(spark, document_sites(docs), labels.limit(0)).collect()} == {0.5}
     assert quality(spark, document_sites(docs.limit(0)), labels).count() == 0
+
+
+def test_toxicity_recall_of_each_language(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
+    known = docs.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
+    known = {r.doc_id: (r.lang, r.toxic) for r in known.collect() if r.toxic is not None}
+    caught, wrong = {}, []
+    for r in q.op10_toxicity(spark, sf).collect():
+        if r.held_out and r.doc_id in known:
+            lang, toxic = known[r.doc_id]
+            caught.setdefault(lang, []).append(r.predicted) if toxic else wrong.append(r.predicted)
+    shares = {lang: (sum(x), len(x)) for lang, x in caught.items()}
+    assert set(shares) == {"de", "en", "es", "fr"} and sum(wrong) <= 0.02 * len(wrong), (shares, sum(wrong), len(wrong))
+    assert all(hit >= 0.4 * n for hit, n in shares.values()), (shares, sum(wrong), len(wrong))
