@@ -139,7 +139,7 @@ def _glue(y: Column, p: str, least: int = 0) -> Column:
     return F.array_join(F.transform(rest, lambda r, i: F.concat(r, F.coalesce(F.get(glued, i), F.lit("")))), "")
 
 
-def _until_stable(y: Column, once, most: int) -> Column:
+def _until_stable(y: Column, once, most: int | Column) -> Column:
     """once(y), again until nothing changes, `most` times at most; nothing is evaluated after that."""
     start = F.struct(y.alias("text"), F.lit(False).alias("done"))
 
@@ -147,7 +147,7 @@ def _until_stable(y: Column, once, most: int) -> Column:
         new = F.transform(F.array(once(s["text"])), lambda z: F.struct(z.alias("text"), (z == s["text"]).alias("done")))
         return F.when(F.coalesce(s["done"], F.lit(True)), s).otherwise(F.element_at(new, 1))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step, lambda s: s["text"])
+    return F.aggregate(F.sequence(F.lit(1), most if isinstance(most, Column) else F.lit(most)), start, step, lambda s: s["text"])
 
 
 def join_split_capitals(x: C, most: int = 12) -> Column:
@@ -239,8 +239,8 @@ def clean_paragraph(x: C, level: str = "light", run_together=fix_run_together) -
     return F.when(F.length(_c(x)) < 5, _c(x)).otherwise(y)
 
 
-def clean_content_text(x: C, most: int = 40) -> Column:
-    """Rendering clean-up: spaced letters fused in threes (`most` times at most), terms, and
+def clean_content_text(x: C) -> Column:
+    """Rendering clean-up: spaced letters fused in threes until none are left, terms, and
     sixteen words split from what follows them."""
     p = pattern(r"\b([A-Za-z])\s+([A-Za-z])\s+([A-Za-z])")
 
@@ -248,7 +248,9 @@ def clean_content_text(x: C, most: int = 40) -> Column:
         one = F.transform(F.array(F.regexp_extract(y, p, 0)), lambda m: F.when(m == "", y).otherwise(F.replace(y, m, F.regexp_replace(m, F.lit(r"(?U)\s+"), F.lit("")))))
         return F.element_at(one, 1)
 
-    y = _until_stable(ustrip(x), fuse, most)
+    y = ustrip(x)
+    # Every pass but the last takes two white-space characters or more away.
+    y = _until_stable(y, fuse, F.when(y.rlike(p), F.length(y) / 2 + 1).otherwise(1).cast("int"))
     y = subs(y, [(r"D\s*&\s*D", "D&D"), (r"Dungeons\s*&\s*Dragons", "Dungeons & Dragons")])
     y = subs(y, [(rf"\b{w}([a-z])", rf"{w} \1") for w in rules.SPLITTABLE_WORDS])
     return F.when(F.length(_c(x)) < 3, _c(x)).otherwise(ustrip(sub(y, r"\s{2,}", " ")))

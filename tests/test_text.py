@@ -98,6 +98,25 @@ def test_long_lines(one):
     assert one(lambda x: tx.split_long_line(x, 10), "aaaa. bbbb. cccc dddd eeee. f") == [["aaaa.", "bbbb.", "cccc dddd eeee.", "f"]]
 
 
+def test_long_spaced_line_is_fused_to_the_end(one):
+    import random
+    import re
+
+    def literal(y):
+        while m := re.search(r"\b([A-Za-z])\s+([A-Za-z])\s+([A-Za-z])", y):
+            y = y.replace(m[0], re.sub(r"\s+", "", m[0]))
+        return y
+
+    letters = random.Random(5)
+    lines = [" ".join(letters.choice("QXZWVK") if upper else letters.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for n, upper in ((400, True), (1200, False))]
+    got = one(tx.clean_content_text, *lines)
+    want = [literal(line) for line in lines]
+    assert got[0] == want[0] and got[1].replace(" ", "") == want[1].replace(" ", "")
+    assert not any(re.search(r"\b[A-Za-z]\s+[A-Za-z]\s+[A-Za-z]", y) for y in want)
+    split = rf"\b({'|'.join(rules.SPLITTABLE_WORDS)})([a-z])"
+    assert got[1].count(" ") <= want[1].count(" ") + sum(bool(re.match(split, w)) for w in want[1].split())
+
+
 @pytest.mark.parametrize("line,before,want", [("and so", "It ended.", True), ("Next", "It ended.", False), (", x", "It ended.", True), ("Next", "sent to the", True), ("(x)", "no stop", True), ("", "x", False), ("Next", "no stop", False)])
 def test_continuation(one, line, before, want):
     assert one(lambda a, b: tx.is_continuation(a, b, ignore_case=False), (line, before)) == [want]
