@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -271,3 +272,14 @@ def test_toxicity_recall_of_each_language(spark):
     shares = {lang: (sum(x), len(x)) for lang, x in caught.items()}
     assert set(shares) == {"de", "en", "es", "fr"} and sum(wrong) <= 0.02 * len(wrong), (shares, sum(wrong), len(wrong))
     assert all(hit >= 0.4 * n for hit, n in shares.values()), (shares, sum(wrong), len(wrong))
+
+
+def test_toxicity_counts_the_whole_corpus(spark):
+    from inkmill.llm.toxicity import corpus_counts, features
+
+    data = [(i, "often" if i % 2 else "seldom") for i in range(20_200)] + [(None, "often")]
+    learnt = [t for i, t in data if i is not None and zlib.crc32(str(i).encode()) % 5]
+    n, rows = corpus_counts(table(spark, data))
+    assert rows == len(learnt) > PositiveUnlabelled().unlabelled
+    only = np.setdiff1d(*features(pa.array(["often", "seldom"])))
+    assert len(only) and (n[only] == learnt.count("often")).all()
