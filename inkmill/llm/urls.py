@@ -39,12 +39,10 @@ RULES = (
 
 @dataclass(frozen=True)
 class Mining:
-    """FP-growth's least support, the least confidence of a rule, its most tokens, and the
-    share of labelled URLs above which a token says nothing."""
+    """FP-growth's least support and the least confidence of a rule."""
 
     support: float = 0.005
     confidence: float = 0.95
-    most_tokens: int = 3
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -92,7 +90,7 @@ def mine(spark: SparkSession, labelled: DataFrame, p: Mining = Mining()) -> Data
     items = labelled.select(F.array_append("tokens", F.concat(F.lit("="), F.col("verdict"))).alias("items"))
     n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
     model = FPGrowth(itemsCol="items", minSupport=p.support, minConfidence=p.confidence, numPartitions=n).fit(items)
-    rules = model.associationRules.filter(F.col("consequent")[0].startswith("=") & (F.size("antecedent") <= p.most_tokens))
+    rules = model.associationRules.filter(F.col("consequent")[0].startswith("="))
     rules = rules.filter(~F.exists("antecedent", lambda x: x.startswith("=")))
     rules = rules.select(F.array_sort("antecedent").alias("tokens"), F.substring(F.col("consequent")[0], 2, 99).alias("verdict"), "confidence", "support")
     rules = Scratch(spark, "rules").write(rules.withColumn("rid", F.monotonically_increasing_id()), "all")

@@ -98,3 +98,12 @@ def test_language_of_odd_rows(spark):
     assert not got[101].accepted and not got[103].accepted and got[0].accepted
     none = spark.createDataFrame([], "id long, text string, declared string, address string, host string, domain string")
     assert identify(spark, none).count() == 0
+
+
+def test_url_rule_of_four_tokens(spark):
+    from inkmill.llm.urls import mine
+
+    few = [["a", "b", "c"], ["a", "b", "d"], ["a", "c", "d"], ["b", "c", "d"]]
+    data = [(["a", "b", "c", "d"], "block")] * 50 + [(x, "allow") for x in few] * 50
+    rules = mine(spark, spark.createDataFrame(data, "tokens array<string>, verdict string")).collect()
+    assert [(r.tokens, r.confidence) for r in rules if r.verdict == "block"] == [(["a", "b", "c", "d"], 1.0)]
