@@ -139,26 +139,44 @@ def _glue(y: Column, p: str, least: int = 0) -> Column:
     return F.array_join(F.transform(rest, lambda r, i: F.concat(r, F.coalesce(F.get(glued, i), F.lit("")))), "")
 
 
-def _until_stable(y: Column, once, most: int | Column) -> Column:
-    """once(y), again until nothing changes, `most` times at most; nothing is evaluated after that."""
+def _join_letters(y: Column, p: str) -> Column:
+    """y with the words of every match of p one space apart, but runs of single letters joined."""
+    found, rest = F.regexp_extract_all(y, F.lit(pattern(p)), F.lit(0)), F.split(y, pattern(p), -1)
+    apart = F.transform(found, lambda m: F.regexp_replace(m, F.lit(r"(?U)\s+"), F.lit(" ")))
+    joined = F.transform(apart, lambda m: F.regexp_replace(m, F.lit(r"(?<=(?<!\S)[A-Za-z]) (?=[A-Za-z](?!\S))"), F.lit("")))
+    return F.when(F.size(found) == 0, y).otherwise(
+        F.array_join(F.transform(rest, lambda r, i: F.concat(r, F.coalesce(F.get(joined, i), F.lit("")))), "")
+    )
+
+
+def _until_stable(y: Column, once, most: Column) -> Column:
+    """once(y), again until nothing changes; `most` is a bound that the text itself gives on
+    the passes that can change it. Nothing is evaluated after the last change."""
     start = F.struct(y.alias("text"), F.lit(False).alias("done"))
 
     def step(s: Column, _: Column) -> Column:
         new = F.transform(F.array(once(s["text"])), lambda z: F.struct(z.alias("text"), (z == s["text"]).alias("done")))
         return F.when(F.coalesce(s["done"], F.lit(True)), s).otherwise(F.element_at(new, 1))
 
-    return F.aggregate(F.sequence(F.lit(1), most if isinstance(most, Column) else F.lit(most)), start, step, lambda s: s["text"])
+    return F.aggregate(F.sequence(F.lit(1), most), start, step, lambda s: s["text"])
+
+
+def _joined_until_stable(y: Column, p: str) -> Column:
+    """Every pass that joins takes away white space after a capital, and one that only makes
+    white space one space is followed by one that changes nothing."""
+    after_capital = F.coalesce(F.regexp_count(y, F.lit(r"(?U)[A-Z]\s")), F.lit(0))
+    return _until_stable(y, lambda z: _join_letters(z, p), 2 * after_capital + 2)
 
 
-def join_split_capitals(x: C, most: int = 12) -> Column:
-    """Letters on two lines become words apart; spaced capitals and a capital before a
-    spaced word are joined until nothing changes."""
-    return _until_stable(sub(x, r"([A-Za-z])\s*\n\s*([A-Za-z])", r"\1 \2"), lambda z: _glue(z, _SPLIT_WORDS), most)
+def join_split_capitals(x: C) -> Column:
+    """Letters on two lines become words apart; runs of single letters that start with a
+    capital are joined until nothing changes. A letter before a longer word stays apart."""
+    return _joined_until_stable(sub(x, r"([A-Za-z])\s*\n\s*([A-Za-z])", r"\1 \2"), _SPLIT_WORDS)
 
 
-def join_split_words(x: C, most: int = 12) -> Column:
+def join_split_words(x: C) -> Column:
     """As join_split_capitals(), but letters on two lines are joined without a space."""
-    return _until_stable(sub(x, r"([A-Za-z])\s*\n\s*([A-Za-z])", r"\1\2"), lambda z: _glue(z, _SPLIT_WORDS_APART), most)
+    return _joined_until_stable(sub(x, r"([A-Za-z])\s*\n\s*([A-Za-z])", r"\1\2"), _SPLIT_WORDS_APART)
 
 
 def _spaced_small_words(x: Column, bounded: bool) -> Column:

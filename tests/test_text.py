@@ -56,7 +56,10 @@ CASES = [
     (tx.simple_tokens, "It's a Été_1, no.", ["it", "s", "a", "été_1", "no"]),
     (tx.word_tokens, "It's é!", ["It", "s", "é"]),
     (tx.word_and_gap_tokens, "It's  a.", ["It's", "  ", "a", "."]),
-    (tx.join_split_words, "H ill D warf\ncat", "Hill Dwarfcat"),
+    (tx.join_split_words, "H ill D warf\ncat", "H ill D warfcat"),
+    (tx.join_split_words, "A cat sat. I went to X ray.", "A cat sat. I went to X ray."),
+    (tx.join_split_capitals, "A cat sat. I went to X ray.", "A cat sat. I went to X ray."),
+    (tx.join_split_words, "A B c D and I  saw", "AB c D and I saw"),
     (tx.join_split_capitals, "A B C D", "ABCD"),
     (tx.clean_text, "to find o f it a n d t h e ex-\nam.... 4", "to find of it and the exam •  4"),
     (lambda x: tx.clean_text(x, bounded=False), "to find", "tofind"),
@@ -90,6 +93,32 @@ def test_case(one, f, given, want):
     assert one(f, given) == [want]
 
 
+def _joined(text, line_end, p):
+    """The letter joining done step by step: words of a match one space apart, single letters together."""
+    import itertools
+    import re
+
+    def words(m):
+        groups = itertools.groupby(m[0].split(), key=lambda w: len(w) == 1)
+        return " ".join(x for single, ws in groups for x in (["".join(ws)] if single else ws))
+
+    text = re.sub(r"([A-Za-z])\s*\n\s*([A-Za-z])", line_end, text)
+    while (new := re.sub(p, words, text)) != text:
+        text = new
+    return text
+
+
+def test_letters_are_joined_like_step_by_step(spark, one):
+    import random
+
+    r = random.Random(11)
+    texts = [x.text for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    texts += ["".join(r.choice("ABCDabc  \n\t.") for _ in range(r.randint(1, 60))) for _ in range(300)]
+    texts += ["A cat sat. I went to X ray.", "H i l l D w a r f", "C H A P T E R I", "A b c D e f G", "T he R aces of A B C\nD E f\n g", " ".join("ABcD" * 40)]
+    for f, line_end, p in ((tx.join_split_capitals, r"\1 \2", tx._SPLIT_WORDS), (tx.join_split_words, r"\1\2", tx._SPLIT_WORDS_APART)):
+        assert one(f, *texts) == [_joined(t, line_end, p) for t in texts]
+
+
 def test_long_lines(one):
     whole = "Sentence one is here. " * 150
     parts = one(lambda x: tx.split_long_line(tx.ustrip(x)), whole)[0]
