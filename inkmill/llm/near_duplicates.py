@@ -1,7 +1,7 @@
 """Operator 6: MinHash near-duplicates with sequential Bayesian verification.
 
 1. Every text becomes its set of word shingles, a MinHash signature and band keys. Texts
-   with equal sets are one class, known by its smallest doc_id; only classes go on.
+   with equal sets are one class, known by a number of its own; only classes go on.
 2. Classes that share a band key are candidates. In each shared bucket all members are
    paired with one pivot: pairs grow with the members, not with their square.
 3. Signatures of candidates are compared batch by batch. With a uniform prior and m of n
@@ -23,13 +23,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from inkmill.llm._shared import Scratch, frugal, small
 from inkmill.llm.graph import connected_components
 
+
 @dataclass(frozen=True)
 class NearDuplicates:
     """words per shingle; percent of similarity; bands of rows; miss probability of the
@@ -103,18 +104,24 @@ def _band_keys(sig: np.ndarray, p: NearDuplicates) -> np.ndarray:
     return key.view(np.int64)
 
 
-SIGNED = "doc_id long, n_shingles long, set_key binary, sig binary, keys array<long>"
+SIGNED = "doc_id long, text_key long, n_shingles long, set_key binary, sig binary, keys array<long>"
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, text: equal rows of one id have one text_key, unlike ones their own."""
+    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("text_key"), "text")
 
 
 def sign(docs: DataFrame, p: NearDuplicates) -> DataFrame:
-    """doc_id, n_shingles, set_key (of equal sets), sig, keys (one per band)."""
+    """doc_id, text_key, n_shingles, set_key (of equal sets), sig, keys (one per band)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _parameters(p)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                sets = _sets(part.column(1), p.words)
+                sets = _sets(part.column(2), p.words)
                 full = [s for s in sets if len(s)]
                 sig = _signatures(full, a, b)
                 keys = _band_keys(sig, p)
@@ -122,13 +129,14 @@ def sign(docs: DataFrame, p: NearDuplicates) -> DataFrame:
                 k = [next(rows) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": part.column(0),
+                    "text_key": part.column(1),
                     "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                     "set_key": pa.array([None if i is None else hashlib.blake2b(full[i].tobytes(), digest_size=16).digest() for i in k], pa.binary()),
                     "sig": pa.array([None if i is None else sig[i].tobytes() for i in k], pa.binary()),
                     "keys": pa.array([None if i is None else keys[i] for i in k], pa.list_(pa.int64())),
                 })
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(run), SIGNED)
+    return _texts(docs).mapInArrow(frugal(run), SIGNED)
 
 
 def least_matches(p: NearDuplicates) -> list[tuple[int, int]]:
@@ -177,7 +185,8 @@ def prune(pairs: DataFrame, signatures: DataFrame, p: NearDuplicates) -> DataFra
 
 
 def set_table(docs: DataFrame, ids: DataFrame, p: NearDuplicates) -> DataFrame:
-    """id, shingles (sorted hashes as bytes) of the documents named in ids."""
+    """id, shingles (sorted hashes as bytes) of the classes in ids (id, least_id, least_key), read
+    from the text of one of their documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,8 +195,10 @@ def set_table(docs: DataFrame, ids: DataFrame, p: NearDuplicates) -> DataFrame:
                 sets = [s.tobytes() for s in _sets(part.column(1), p.words)]
                 yield pa.RecordBatch.from_pydict({"id": part.column(0), "shingles": pa.array(sets, pa.binary())})
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.join(small(ids), F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(frugal(run), "id long, shingles binary")
+    same = F.col("doc_id").eqNullSafe(F.col("least_id")) & (F.col("text_key") == F.col("least_key"))
+    sets = _texts(docs).join(small(ids), same).select("id", "text").mapInArrow(frugal(run), "id long, shingles binary")
+    # A row that is repeated gives its set again.
+    return sets.groupBy("id").agg(F.first("shingles").alias("shingles"))
 
 
 def exact_links(pairs: DataFrame, sets: DataFrame, p: NearDuplicates) -> DataFrame:
@@ -223,10 +234,15 @@ def _across(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return both.filter("c1 <> c2").select("member", "pivot")
 
 
-def _verify(docs: DataFrame, survivors: DataFrame, scratch: Scratch, name: str, p: NearDuplicates) -> DataFrame:
+def _named(ids: DataFrame, reps: DataFrame) -> DataFrame:
+    """id, least_id, least_key: where the texts of the classes in ids (id) are found."""
+    return ids.distinct().join(reps.select(F.col("id").alias("r"), "least_id", "least_key"), F.col("id") == F.col("r")).drop("r")
+
+
+def _verify(docs: DataFrame, survivors: DataFrame, reps: DataFrame, scratch: Scratch, name: str, p: NearDuplicates) -> DataFrame:
     """The links among the survivors, but for such as join what others join already."""
-    ends = survivors.select(F.col("member").alias("id")).unionByName(survivors.select(F.col("pivot").alias("id"))).distinct()
-    sets = scratch.write(set_table(docs, scratch.write(ends, f"{name}-ids"), p), f"{name}-sets")
+    ends = survivors.select(F.col("member").alias("id")).unionByName(survivors.select(F.col("pivot").alias("id")))
+    sets = scratch.write(set_table(docs, scratch.write(_named(ends, reps), f"{name}-ids"), p), f"{name}-sets")
     # Each member's likeliest pivot; of equals the smallest.
     rank = F.col("equal") * F.lit(1 << 40) + F.pmod(F.xxhash64("pivot"), F.lit(1 << 40))
     ranked = survivors.withColumn("rank", rank)
@@ -340,29 +356,26 @@ def _blocks(members: DataFrame, p: NearDuplicates) -> DataFrame:
     )
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, p: NearDuplicates = NearDuplicates()) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text).
-
-    Null or empty texts: no shingles, linked with nothing. Rows of one doc_id with unlike
-    texts stand each for itself; with equal texts they share a class and are both kept.
-    Null doc_id: in no component (component_id null) and kept. Empty table: no rows.
-    Other columns are not read.
-    """
-    scratch = Scratch(spark, "near-duplicates")
+def _resolve(spark: SparkSession, docs: DataFrame, p: NearDuplicates, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(every row of docs: doc_id, text_key, n_shingles, set_key; every class: k, its set_key, and
+    of its component the smallest id, least_id, with the class, keeper, and the text,
+    keeper_key, of a row that has it). Null ids come after all others."""
     signed = scratch.write(sign(docs, p), "signed")
-    full = signed.filter("doc_id is not null and n_shingles > 0")
-    classes = scratch.write(full.groupBy("set_key").agg(F.min("doc_id").alias("id")).withColumnRenamed("set_key", "k"), "classes")
-    kept = full.join(classes, (F.col("set_key") == F.col("k")) & (F.col("doc_id") == F.col("id"))).select("id", "sig", "keys")
-    reps = scratch.write(kept, "reps")
+    full = signed.filter("n_shingles > 0")
+    # Equal sets have equal signatures, so any will do; a large class meets in aggregates only.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("one")
+    reps = full.groupBy("set_key").agg(first, F.first("sig").alias("sig"), F.first("keys").alias("keys"))
+    reps = reps.select(F.monotonically_increasing_id().alias("id"), "set_key", F.col("one.doc_id").alias("least_id"), F.col("one.text_key").alias("least_key"), "sig", "keys")
+    reps = scratch.write(reps, "reps")
 
     banded = reps.select("id", F.explode("keys").alias("bucket"))
-    buckets = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).filter("n > 1 and lo < hi")
+    buckets = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).filter("n > 1")
     buckets = scratch.write(buckets.select(F.col("bucket").alias("b"), "n", F.when(F.pmod("bucket", F.lit(2)) == 0, F.col("lo")).otherwise(F.col("hi")).alias("pivot")), "buckets")
     members = scratch.write(banded.join(buckets, F.col("bucket") == F.col("b")).select("bucket", "id", "n", "pivot"), "members")
 
     pairs = members.filter("id <> pivot").select(F.col("id").alias("member"), "pivot").distinct()
     survivors = scratch.write(prune(pairs, reps, p), "survivors-1")
-    links = _verify(docs, survivors, scratch, "star", p)
+    links = _verify(docs, survivors, reps, scratch, "star", p)
     parts = scratch.write(connected_components(links, scratch, "cc-1"), "parts-1")
 
     # Buckets of three or more whose members are not all in one component.
@@ -375,7 +388,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, p: NearDuplicates = Ne
         signature = reps.select(F.col("id").alias("i"), "sig")
         dealt = scratch.write(_blocks(_groups(crowd, scratch, p), p), "dealt")
         close = scratch.write(_close_members(dealt.join(signature, F.col("id") == F.col("i")).drop("i"), p), "close")
-        ids = scratch.write(close.select("id").distinct(), "close-ids")
+        ids = scratch.write(_named(close.select("id"), reps), "close-ids")
         if ids.limit(1).count():
             sets = scratch.write(set_table(docs, ids, p), "close-sets").select(F.col("id").alias("j"), "shingles")
             group = close.join(signature, F.col("id") == F.col("i")).drop("i").join(sets, F.col("id") == F.col("j")).drop("j")
@@ -383,18 +396,54 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, p: NearDuplicates = Ne
             links = links.unionByName(more)
             parts = scratch.write(connected_components(links, scratch, "cc-2"), "parts-2")
 
-    own = _with_component(classes, "id", parts, "component").select("k", "component")
-    own = scratch.write(own, "own")
+    own = scratch.write(_with_component(reps.select("id", "set_key", "least_id", "least_key"), "id", parts, "component"), "own")
     scratch.drop("reps", "members", "star-sets", "close-sets", "crowd", "open-members", "dealt", "close")
-    slim = signed.select("doc_id", "n_shingles", "set_key")
-    joined = slim.join(own, F.col("set_key") == F.col("k"), "left")
-    component = F.coalesce("component", "doc_id")
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    first = F.min(F.struct(F.col("least_id").isNull().alias("none"), "least_id", "least_key", "id")).alias("one")
+    linked = own.filter("component <> id").select("component").distinct().withColumnRenamed("component", "c")
+    least = own.join(linked, F.col("component") == F.col("c"), "left_semi").groupBy("component").agg(first)
+    least = scratch.write(least.select(F.col("component").alias("c"), "one"), "least")
+    at = own.join(small(least), F.col("component") == F.col("c"), "left").select(
+        F.col("set_key").alias("k"), "id", F.coalesce("one", F.struct(F.col("least_id").isNull().alias("none"), "least_id", "least_key", "id")).alias("one")
+    )
+    classes = at.select("k", "id", F.col("one.least_id").alias("least_id"), F.col("one.id").alias("keeper"), F.col("one.least_key").alias("keeper_key"))
+    return signed.select("doc_id", "text_key", "n_shingles", "set_key"), scratch.write(classes, "classes")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, p: NearDuplicates = NearDuplicates()) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text).
+
+    Null or empty texts: no shingles, linked with nothing. Rows of one doc_id with unlike
+    texts stand each for itself; with equal texts they share a class and have one result.
+    Null doc_id: linked like others; where its component has an id it is not kept, else its
+    component_id is null and it is kept. Empty table: no rows. Other columns are not read.
+    """
+    rows, classes = _resolve(spark, docs, p, Scratch(spark, "near-duplicates"))
+    joined = rows.join(classes, F.col("set_key") == F.col("k"), "left")
+    component = F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("least_id"))
+    return joined.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, p: NearDuplicates = NearDuplicates()) -> DataFrame:
-    """docs without the rows of which near_duplicates() keeps another; of equal rows, which
-    share an id, all stay. Columns unchanged."""
+    """docs with one row of each component of near_duplicates(): one with the smallest doc_id,
+    null ids last; of rows with that id the one with the smallest text hash, and of repeated
+    rows one. Each row is judged for itself: a row whose id a dropped one shares stays. Null
+    and empty texts all stay. Empty table: no rows. Columns unchanged."""
     scratch = Scratch(spark, "kept")
-    gone = scratch.write(near_duplicates(spark, docs, p).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(small(gone), docs["doc_id"] == gone["_gone"], "left_anti")
+    rows, classes = _resolve(spark, docs, p, scratch)
+    judged = rows.join(classes, F.col("set_key") == F.col("k"))
+    keeps = (F.col("id") == F.col("keeper")) & F.col("doc_id").eqNullSafe(F.col("least_id")) & (F.col("text_key") == F.col("keeper_key"))
+    each = judged.groupBy("doc_id", "text_key").agg(F.max(keeps).alias("keeps"), F.count("*").alias("n"))
+    each = scratch.write(each.filter("not keeps or n > 1").select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t"), "keeps"), "judged")
+    gone = small(each.select("_d", "_t"))
+    left = docs.join(gone, _same_row(docs, gone), "left_anti")
+    if not each.filter("keeps").limit(1).count():
+        return left
+    repeated = small(each.filter("keeps").select("_d", "_t"))
+    row = F.struct(*[docs[c] for c in docs.columns])
+    rows = docs.join(repeated, _same_row(docs, repeated)).groupBy(repeated["_d"], repeated["_t"])
+    return left.union(rows.agg(F.min_by(row, F.to_json(row)).alias("_row")).select("_row.*"))
+
+
+def _same_row(docs: DataFrame, keys: DataFrame) -> Column:
+    """Whether a row of docs has the id and text that a row of keys (_d, _t) names."""
+    return docs["doc_id"].cast("long").eqNullSafe(keys["_d"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == keys["_t"])
