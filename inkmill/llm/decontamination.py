@@ -2,11 +2,13 @@
 
 The index holds one posting (row, position, term) for every occurrence, in the corpus, of a
 term that some test window has, and an end marker per row whose position is the number of
-its words. Texts are read once. A window is searched from its rarest terms: the postings of
-each, moved back by the term's offset in the window, are starts; starts on which the rarest
-terms agree are candidates. Only rows with candidates are then compared over all terms.
-No list of a term is ever gathered: postings stay rows, candidates are grouped by row and
-start, and whole postings are collected only per candidate document.
+its words. Texts are read once. A window is searched from its rarest terms, its anchors:
+their postings, moved back by the term's offset in the window, are starts. Per row and window
+one pass over the sorted starts finds where the lists of all anchors meet: at one place
+(candidates for a phrase) or within `slop` words of it (a proximity match). Candidates are
+compared over all terms by counting, per candidate, the window's terms that have a posting at
+their place. No list of a term or of a row is ever gathered: postings, starts and candidates
+stay rows, so the work is linear in them, and a long text is spread over its positions.
 """
 
 from __future__ import annotations
@@ -29,8 +31,7 @@ def words(text: Column) -> Column:
 
 @dataclass
 class Windows:
-    """window: wid, n, tids (terms in order), items (sorted). term: tid, term.
-    anchor: wid, off, tid of the window's rarest terms, rank 1 the rarest."""
+    """window: wid, n, tids (terms in order), items (sorted). term: tid, term."""
 
     window: DataFrame
     term: DataFrame
@@ -54,109 +55,120 @@ def build_windows(benchmark: DataFrame, scratch: Scratch, size: int = 13) -> Win
 
 
 def build_index(docs: DataFrame, windows: Windows, scratch: Scratch) -> DataFrame:
-    """rid, doc_id, pos, tid: one posting per occurrence of a window's term, and tid 0 at
-    the position after the last word of every row. rid numbers the rows of docs, so rows
-    that repeat an id stay apart."""
+    """rid, pos, tid: one posting per occurrence of a window's term; and per row of docs one
+    with tid 0 at the position after its last word, which alone has doc_id and text_key (the
+    hash of the text). rid numbers the rows of docs, so rows that repeat an id stay apart."""
     rows = docs.select(
-        F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"),
+        F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), _text_key(F.col("text")).alias("text_key"),
         F.concat(words(F.col("text")), F.array(F.lit(END))).alias("words"),
-    ).select("rid", "doc_id", F.posexplode("words").alias("pos", "word"))
-    hit = rows.join(small(windows.term, 500_000), F.col("word") == F.col("term")).select("rid", "doc_id", "pos", "tid")
-    return scratch.write(hit, "index")
+    ).select("rid", "doc_id", "text_key", F.posexplode("words").alias("pos", "word"))
+    hit = rows.join(small(windows.term), F.col("word") == F.col("term"))
+    last = F.col("tid") == 0
+    return scratch.write(hit.select("rid", "pos", "tid", F.when(last, F.col("doc_id")).alias("doc_id"), F.when(last, F.col("text_key")).alias("text_key")), "index")
+
+
+def _text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def anchors(index: DataFrame, windows: Windows, scratch: Scratch, most: int) -> DataFrame:
     """wid, rank, off, tid, ranks: for each window its `most` rarest distinct terms by the
-    number of postings. A window with a term that the corpus lacks has none."""
+    number of postings, rank 1 the rarest (of equally rare ones the first by code point), at
+    every offset at which the window has them. A window with a term that the corpus lacks has none."""
     count = index.groupBy("tid").agg(F.count("*").alias("postings"))
+    count = count.join(windows.term.select(F.col("tid").alias("i"), "term"), F.col("tid") == F.col("i")).drop("i")
     count = scratch.write(count, "counts")
     placed = windows.window.select("wid", F.posexplode("tids").alias("off", "t"))
-    placed = placed.groupBy("wid", "t").agg(F.min("off").alias("off")).join(count, F.col("t") == F.col("tid"), "left")
+    placed = placed.groupBy("wid", "t").agg(F.collect_list("off").alias("offs")).join(count, F.col("t") == F.col("tid"), "left")
     by = W.partitionBy("wid")
-    ranked = placed.withColumn("none", F.max(F.col("postings").isNull()).over(by)).withColumn("rank", F.row_number().over(by.orderBy("postings", "t")))
+    ranked = placed.withColumn("none", F.max(F.col("postings").isNull()).over(by)).withColumn("rank", F.row_number().over(by.orderBy("postings", "term")))
     ranked = ranked.filter(~F.col("none") & (F.col("rank") <= most)).withColumn("ranks", F.max("rank").over(by))
-    return scratch.write(ranked.select("wid", "rank", "off", "tid", "ranks"), "anchors")
-
-
-def starts(index: DataFrame, anchor: DataFrame, slop: int = 0) -> DataFrame:
-    """rid, wid, start, agreed, ranks: where the offset-adjusted lists of a window's anchors
-    meet, within cells of slop + 1 positions if slop is given."""
-    key = anchor.select("wid", "rank", "off", F.col("tid").alias("t"), "ranks")
-    at = index.join(small(key), F.col("tid") == F.col("t")).withColumn("start", F.col("pos") - F.col("off"))
-    if slop:
-        at = at.withColumn("start", F.floor(F.col("start") / (slop + 1)).cast("int"))
-    else:
-        at = at.filter("start >= 0")
-    return at.groupBy("rid", "wid", "start").agg(F.countDistinct("rank").alias("agreed") if slop else F.count("*").cast("int").alias("agreed"), F.first("ranks").alias("ranks"))
-
-
-def phrase_matches(index: DataFrame, windows: Windows, scratch: Scratch, most: int = 3) -> DataFrame:
-    """rid, found: per row with occurrences, the windows found as array of (start, n, items)."""
-    anchor = anchors(index, windows, scratch, most)
-    lead = starts(index, anchor.filter("rank <= 2")).filter(F.col("agreed") == F.least(F.col("ranks"), F.lit(2)))
-    candidate = scratch.write(lead.select("rid", "wid", "start"), "candidates")
-    one = windows.window.select(F.col("wid").alias("v"), "n", "tids", "items")
-    asked = candidate.join(small(one, 100_000), F.col("wid") == F.col("v")).groupBy("rid").agg(F.collect_list(F.struct("start", "n", "tids", "items")).alias("asked"))
+    return scratch.write(ranked.select("wid", "rank", F.explode("offs").alias("off"), "tid", "ranks"), "anchors")
+
+
+def meetings(index: DataFrame, anchor: DataFrame, slop: int) -> DataFrame:
+    """rid, wid, start, exact, near: the starts of each window's rarest term, and whether the
+    lists of all its anchors meet there, or have each a start within slop words of it."""
+    key = anchor.select("wid", F.expr("shiftleft(1, rank - 1)").alias("bit"), "off", F.col("tid").alias("t"), F.expr("shiftleft(1, ranks) - 1").alias("mask"))
+    at = index.filter("tid > 0").join(small(key), F.col("tid") == F.col("t")).select("rid", "wid", (F.col("pos") - F.col("off")).alias("start"), "bit", "mask")
+    by = W.partitionBy("rid", "wid").orderBy("start")
+    seen = lambda w: F.bit_or("bit").over(w) == F.col("mask")
+    at = at.withColumn("exact", seen(by.rangeBetween(0, 0))).withColumn("near", seen(by.rangeBetween(-slop, slop)))
+    return at.filter("bit = 1 and near").select("rid", "wid", "start", "exact", "near")
+
+
+def phrase_matches(met: DataFrame, index: DataFrame, windows: Windows, scratch: Scratch) -> DataFrame:
+    """rid, wid, start, n: every occurrence of every window."""
+    one = windows.window.select(F.col("wid").alias("v"), "n", "tids")
+    candidate = met.filter("exact and start >= 0").select("rid", "wid", "start").distinct()
+    asked = candidate.join(small(one), F.col("wid") == F.col("v")).select("rid", "wid", "start", "n", F.posexplode("tids").alias("off", "t"))
+    asked = asked.select("rid", "wid", "start", "n", (F.col("start") + F.col("off")).alias("p"), "t")
     ids = scratch.write(candidate.select(F.col("rid").alias("r")).distinct(), "candidate-rows")
-    posting = index.filter("tid > 0").join(small(ids), F.col("rid") == F.col("r"), "left_semi")
-    lists = posting.groupBy(F.col("rid").alias("q")).agg(F.array_sort(F.collect_list(F.struct("pos", "tid"))).alias("list"))
-    lists = lists.select("q", F.transform("list", lambda x: x["pos"]).alias("pos"), F.transform("list", lambda x: x["tid"]).alias("tid"))
+    posting = index.filter("tid > 0").join(small(ids), F.col("rid") == F.col("r"), "left_semi").select(F.col("rid").alias("q"), "pos", "tid")
+    there = asked.join(posting, (F.col("rid") == F.col("q")) & (F.col("p") == F.col("pos")) & (F.col("t") == F.col("tid")))
+    return there.groupBy("rid", "wid", "start", "n").agg(F.count("*").alias("found")).filter("found = n").drop("found")
 
-    def whole(c: Column) -> Column:
-        # All postings are sorted by position, so a whole window lies in them side by side.
-        at = F.array_position(F.col("pos"), c["start"]).cast("int")
-        last = F.try_element_at(F.col("pos"), at + c["n"] - 1)
-        return (at > 0) & (last == c["start"] + c["n"] - 1) & (F.slice(F.col("tid"), F.greatest(at, F.lit(1)), c["n"]) == c["tids"])
 
-    found = asked.join(lists, F.col("rid") == F.col("q")).select("rid", F.filter("asked", whole).alias("found"))
-    return found.filter(F.size("found") > 0).select("rid", F.transform("found", lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), c["items"].alias("items"))).alias("found"))
+def words_hit(found: DataFrame) -> DataFrame:
+    """r, n_hit of found (rid, start, n): the words in the union of a row's spans."""
+    ends = found.groupBy("rid", "start").agg(F.max(F.col("start") + F.col("n")).alias("upto"))
+    before = F.max("upto").over(W.partitionBy("rid").orderBy("start").rowsBetween(W.unboundedPreceding, -1))
+    new = F.col("upto") - F.greatest(F.col("start"), F.coalesce(before, F.lit(0)))
+    return ends.withColumn("new", F.greatest(new, F.lit(0))).groupBy(F.col("rid").alias("r")).agg(F.sum("new").cast("long").alias("n_hit"))
 
 
-def proximity_matches(index: DataFrame, windows: Windows, scratch: Scratch, slop: int = 8, most: int = 3) -> DataFrame:
-    """rid, item_id: rows in which a window's rarest terms lie near their places: their
-    adjusted starts share a cell of slop + 1 positions, in one of two half-shifted grids."""
-    anchor = anchors(index, windows, scratch, most)
-    shifted = index.withColumn("pos", F.col("pos") + (slop + 1) // 2)
-    near = starts(index, anchor, slop).unionByName(starts(shifted, anchor, slop)).filter(F.col("agreed") == F.col("ranks"))
-    items = windows.window.select(F.col("wid").alias("v"), F.explode("items").alias("item_id"))
-    return near.join(small(items, 300_000), F.col("wid") == F.col("v")).select("rid", "item_id").distinct()
+def _items(rows: DataFrame, windows: Windows, name: str) -> DataFrame:
+    """q, name: per row the items of its windows, sorted as strings; as many as the benchmark has at most."""
+    item = windows.window.select(F.col("wid").alias("v"), F.explode("items").alias("item"))
+    each = rows.select("rid", "wid").distinct().join(small(item), F.col("wid") == F.col("v"))
+    return each.groupBy(F.col("rid").alias("q")).agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias(name))
 
 
-def _covered(found: Column) -> Column:
-    """Words in the union of the spans."""
-    spans = F.array_sort(F.transform(found, lambda c: F.struct(c["start"].alias("a"), (c["start"] + c["n"]).alias("b"))))
-    zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("hit"))
-    step = lambda s, x: F.struct(F.greatest(s["end"], x["b"]).alias("end"), (s["hit"] + F.greatest(F.lit(0), x["b"] - F.greatest(s["end"], x["a"]))).alias("hit"))
-    return F.aggregate(spans, zero, step, lambda s: s["hit"].cast("long"))
+def _contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: int, least_share: float, slop: int | None) -> DataFrame:
+    """contamination() with text_key; without proximity matches where slop is None."""
+    scratch = Scratch(spark, "decontamination")
+    windows = build_windows(benchmark, scratch, size)
+    index = build_index(docs, windows, scratch)
+    met = scratch.write(meetings(index, anchors(index, windows, scratch, 3), slop or 0), "met")
+    found = scratch.write(phrase_matches(met, index, windows, scratch), "found")
+    hits = words_hit(found).join(_items(found, windows, "items"), F.col("r") == F.col("q")).drop("q")
+    hits = scratch.write(hits, "hits")
+    end = index.filter("tid = 0").select("rid", "doc_id", "text_key", F.col("pos").cast("long").alias("n_words"))
+    out = end.join(hits, F.col("rid") == F.col("r"), "left")
+    if slop is None:
+        out = out.withColumn("near", F.lit(None).cast("array<string>"))
+    else:
+        near = scratch.write(_items(met, windows, "near"), "near")
+        out = out.join(near, F.col("rid") == F.col("q"), "left")
+    none = F.array().cast("array<string>")
+    n_hit, items, near = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", none), F.coalesce("near", none)
+    share = n_hit * F.lit(round(1 / least_share)) >= F.col("n_words")
+    return out.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"),
+        ((n_hit > 0) & share).alias("contaminated"), F.size(near).cast("long").alias("n_near"), near.alias("near"), "text_key",
+    )
 
 
-def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: int = 13, least_share: float = 0.05) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items (sorted as strings), contaminated of every row
-    of docs (doc_id, text): n_hit words lie in an occurrence of a window of benchmark
+def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: int = 13, least_share: float = 0.05, slop: int = 8) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items (sorted as strings), contaminated, n_near, near of
+    every row of docs (doc_id, text): n_hit words lie in an occurrence of a window of benchmark
     (item_id, text), and a row is contaminated if they are at least least_share of its words.
+    near are the items of windows whose up to three rarest terms are all found, each within
+    slop words of its place as the rarest one gives it; every phrase match is one.
 
     Null or wordless text: no words, not contaminated. Null doc_id: a row like others. Rows
     that repeat an id are told apart. Empty docs: no rows; empty benchmark: no hits. Other
-    columns are not read.
+    columns are not read. A row's items are gathered; they are items of the benchmark.
     """
-    scratch = Scratch(spark, "decontamination")
-    windows = build_windows(benchmark, scratch, size)
-    index = build_index(docs, windows, scratch)
-    found = phrase_matches(index, windows, scratch)
-    names = F.array_sort(F.transform(F.array_distinct(F.flatten(F.transform("found", lambda c: c["items"]))), lambda i: i.cast("string")))
-    hits = found.select(F.col("rid").alias("r"), _covered(F.col("found")).alias("n_hit"), names.alias("items"))
-    hits = scratch.write(hits, "hits")
-    end = index.filter("tid = 0").select("rid", "doc_id", F.col("pos").cast("long").alias("n_words"))
-    n_hit, items = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
-    share = n_hit * F.lit(round(1 / least_share)) >= F.col("n_words")
-    return end.join(hits, F.col("rid") == F.col("r"), "left").select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), ((n_hit > 0) & share).alias("contaminated")
-    )
+    return _contamination(spark, docs, benchmark, size, least_share, slop).drop("text_key")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: int = 13) -> DataFrame:
-    """docs without the ids of contaminated rows; rows with null id stay. Columns unchanged."""
+    """docs without its contaminated rows, each judged by its own text: rows with null id go
+    too, and clean rows that share an id with a contaminated one stay. Repeated rows share
+    their verdict. Empty tables as in contamination(). Columns unchanged."""
     scratch = Scratch(spark, "contaminated")
-    gone = contamination(spark, docs, benchmark, size).filter("contaminated and doc_id is not null")
-    gone = scratch.write(gone.select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(small(gone), docs["doc_id"] == gone["_gone"], "left_anti")
+    gone = _contamination(spark, docs, benchmark, size, 0.05, None).filter("contaminated")
+    gone = scratch.write(gone.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t")).distinct(), "gone")
+    same = docs["doc_id"].cast("long").eqNullSafe(gone["_d"]) & (_text_key(docs["text"]) == gone["_t"])
+    return docs.join(small(gone), same, "left_anti")

@@ -45,6 +45,29 @@ def contamination(docs, items, size=13):
     return out
 
 
+def proximity(docs, items, size=13, slop=8, anchors=3):
+    """Per document, in order, the sorted items with a window whose rarest words are all near their places."""
+    find = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
+    texts = [find(t) for _, t in docs]
+    count = defaultdict(int)
+    for w in texts:
+        for x in w:
+            count[x] += 1
+    out = [set() for _ in docs]
+    for i, text in items:
+        w = find(text)
+        for k in range(max(1, len(w) - size + 1) if i is not None and w else 0):
+            g = w[k : k + size]
+            if not all(x in count for x in g):
+                continue
+            rare = sorted(set(g), key=lambda x: (count[x], x))[:anchors]
+            for d, t in enumerate(texts):
+                lists = [{p - o for p, y in enumerate(t) if y == x for o, z in enumerate(g) if z == x} for x in rare]
+                if any(all(any(abs(b - a) <= slop for b in more) for more in lists[1:]) for a in lists[0]):
+                    out[d].add(str(i))
+    return [sorted(x) for x in out]
+
+
 def near_duplicates(docs, words=5):
     """docs (doc_id, text), ids distinct -> doc_id, n_shingles, component, kept."""
     sets = {}
