@@ -3,10 +3,12 @@
     record = turn*
     turn   = "<|im_start|>" role "\\n" body "<|im_end|>" "\\n"
 
-A body ends at the first end mark. "<", k backslashes and "|" stand for "<", k - 1
+A body ends at the first end mark; "<|", with which every control string begins, may stand
+nowhere else in a role or a body. "<", k backslashes and "|" stand for "<", k - 1
 backslashes and "|" if k > 0; in a role "\\\\" stands for a backslash and "\\n" for a line
-end. A conversation is rendered as it is and parsed again; turns that come back changed are
-escaped, until all turns come back as they were. Escaped text holds no "<|", so it always does.
+end. A conversation is rendered as it is and parsed again; turns at which the grammar fails or
+that come back changed are escaped, until all turns come back as they were. Escaped text holds
+no "<|", so it always does, and no rendered role or body ever holds a control string.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 from inkmill.llm._shared import frugal
 
 START, END = "<|im_start|>", "<|im_end|>"
+#: With which every control string begins.
+OPEN = "<|"
 PLAIN, MARKED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 FORMATTED = "conv_id long, text string, loss array<struct<start:long,end:long>>"
 
@@ -44,17 +48,25 @@ def _unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
 
 
-def parse(text: str) -> list[Turn] | None:
-    """The turns of a record, or None if the grammar does not fit."""
+def _turns(text: str) -> tuple[list[Turn], bool]:
+    """The turns of a record up to where the grammar fails, and whether it fits to the end."""
     turns, at = [], 0
     while at < len(text):
         line = text.find("\n", at)
         end = text.find(END, line)
         if not text.startswith(START, at) or line < 0 or end < 0 or not text.startswith("\n", end + len(END)):
-            return None
+            return turns, False
+        if text.find(OPEN, at + len(START), end) >= 0:
+            return turns, False
         turns.append((_unescape_role(text[at + len(START) : line]), unescape(text[line + 1 : end])))
         at = end + len(END) + 1
-    return turns
+    return turns, True
+
+
+def parse(text: str) -> list[Turn] | None:
+    """The turns of a record, or None if the grammar does not fit."""
+    turns, fits = _turns(text)
+    return turns if fits else None
 
 
 def _render(turns: list[Turn], escaped: set[int]) -> tuple[str, list[tuple[int, int]]]:
@@ -74,11 +86,12 @@ def format_turns(turns: list[Turn], learn: str = "assistant") -> tuple[str, list
     escaped: set[int] = set()
     while True:
         text, spans = _render(turns, escaped)
-        back = parse(text)
-        if back == turns:
+        back, fits = _turns(text)
+        if fits and back == turns:
             return text, [s for s, (role, _) in zip(spans, turns) if role == learn]
-        # From the first turn that came back changed on, what escaping would change.
-        wrong = 0 if back is None else next((i for i, (a, b) in enumerate(zip(back, turns)) if a != b), 0)
+        # From the first turn that came back changed on, or at which the grammar failed, what
+        # escaping would change; turns before it came back as they were.
+        wrong = next((i for i, (a, b) in enumerate(zip(back, turns)) if a != b), min(len(back), len(turns) - 1))
         more = {i for i in range(wrong, len(turns)) if (_escape_role(turns[i][0]), escape(turns[i][1])) != turns[i]} - escaped
         if not more:
             raise ValueError("escaped turns do not come back")
