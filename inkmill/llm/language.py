@@ -29,12 +29,11 @@ COUNTRY = {"at": "de", "be": "fr", "ch": "de", "de": "de", "es": "es", "fr": "fr
 
 @dataclass(frozen=True)
 class Identification:
-    """Documents per language to fit on and most languages; trigrams that count as
-    independent at most; weight of a parent prior in rows; prior of "undetermined"; chance
-    that an address misleads; least posterior to accept."""
+    """Documents per language to fit on; trigrams that count as independent at most; weight
+    of a parent prior in rows; prior of "undetermined"; chance that an address misleads;
+    least posterior to accept."""
 
     sample: int = 400
-    languages: int = 32
     evidence: float = 60.0
     smoothing: float = 20.0
     undetermined: float = 0.01
@@ -44,9 +43,9 @@ class Identification:
 
 def fit(spark: SparkSession, rows: DataFrame, p: Identification) -> tuple[list[str], np.ndarray]:
     """Languages, and log-probabilities of trigram buckets by language, from a bounded sample
-    of rows (id, text, declared): for each of the most frequent declared languages the
-    p.sample rows with the smallest hashes."""
-    told = rows.filter("declared is not null").groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(p.languages).collect()
+    of rows (id, text, declared): for each declared language, of which there are as many as
+    the table names (128 KB of model each), the p.sample rows with the smallest hashes."""
+    told = rows.filter("declared is not null").groupBy("declared").count().collect()
     sizes = {r[0]: r[1] for r in told}
     names = sorted(sizes)
     if not names:
@@ -119,20 +118,23 @@ def address_language(host: Column, path: Column, names: list[str]) -> Column:
 
 
 def identify(spark: SparkSession, rows: DataFrame, p: Identification = Identification()) -> DataFrame:
-    """id, declared, lang, confidence, accepted of every row of rows (id, text, declared,
-    address, host, domain); declared, address, host and domain may be null and say nothing then.
+    """id, declared, lang, confidence, accepted, and key if rows has one, of every row of rows
+    (id, text, declared, address, host, domain); declared, address, host and domain may be
+    null and say nothing then.
 
     lang is null where "undetermined" wins or no language is declared anywhere. Null and
     empty texts are judged by the other evidence alone; if there is none they are not
-    accepted. Rows that repeat an id are told apart. Empty table: no rows.
+    accepted. Rows that repeat an id are told apart; repeated rows have one result each.
+    Empty table: no rows. Other columns are not read.
     """
+    carried = ["key"] if "key" in rows.columns else []
     scratch = Scratch(spark, "language")
     names, model = fit(spark, rows, p)
     k = len(names)
-    slim = rows.select(F.monotonically_increasing_id().alias("row"), "id", "declared", "address", "host", "domain", "text")
+    slim = rows.select(F.monotonically_increasing_id().alias("row"), "id", "declared", "address", "host", "domain", *carried, "text")
     told = scratch.write(text_evidence(slim, model, p), "text")
     if not k:
-        return told.select("id", "declared", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("confidence"), F.lit(False).alias("accepted"))
+        return told.select("id", *carried, "declared", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("confidence"), F.lit(False).alias("accepted"))
     # What texts alone say, as soft counts.
     flat = np.log(np.array([(1 - p.undetermined) / k] * k + [p.undetermined]))
     add = lambda x, y: F.zip_with(x, y, lambda a, b: a + b)
@@ -164,7 +166,7 @@ def identify(spark: SparkSession, rows: DataFrame, p: Identification = Identific
     index = lambda c: F.array_position(F.array(*[F.lit(n) for n in names]), F.col(c)).cast("int")
     table = lambda t: F.array(*[array(r) for r in t])
     of = lambda c, t: F.coalesce(F.try_element_at(table(t), F.nullif(index(c), F.lit(0))), array([0.0] * (k + 1)))
-    at = told.join(small(priors, 100_000), F.col("host").eqNullSafe(F.col("h")) & F.col("domain").eqNullSafe(F.col("hd")), "left")
+    at = told.join(small(priors), F.col("host").eqNullSafe(F.col("h")) & F.col("domain").eqNullSafe(F.col("hd")), "left")
     prior = F.transform(F.coalesce("hp", array(whole)), lambda x: F.log(x))
     known = (F.col("n") > 0) | F.col("declared").isin(names) | F.col("address").isin(names)
     at = at.withColumn("post", _softmax(add(add(add(F.col("ll"), prior), of("declared", trust)), of("address", hint))))
@@ -172,17 +174,23 @@ def identify(spark: SparkSession, rows: DataFrame, p: Identification = Identific
     lang = F.try_element_at(F.array(*[F.lit(n) for n in names]), best)
     known = F.coalesce(known, F.lit(False))
     return at.select(
-        "id", "declared", F.when(known, lang).alias("lang"), F.when(known, F.array_max("post")).otherwise(0.0).alias("confidence"),
+        "id", *carried, "declared", F.when(known, lang).alias("lang"), F.when(known, F.array_max("post")).otherwise(0.0).alias("confidence"),
         (known & lang.isNotNull() & (F.array_max("post") >= p.least)).alias("accepted"),
     )
 
 
+def _row_key(docs: DataFrame) -> Column:
+    """Equal for rows of docs with equal text, lang and source, which are judged alike."""
+    parts = [docs[c].cast("string") for c in ("text", "lang", "source")]
+    return F.xxhash64(*[x for c in parts for x in (c.isNull(), c)])
+
+
 def document_rows(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, lang, source) as rows to identify: the column lang is the
-    declaration and the source the host."""
+    declaration and the source the host. Documents have no address."""
     return docs.select(
-        F.col("doc_id").cast("long").alias("id"), "text", F.col("lang").alias("declared"), F.lit(None).cast("string").alias("address"),
-        F.col("source").alias("host"), F.lit(None).cast("string").alias("domain"),
+        docs["doc_id"].cast("long").alias("id"), docs["text"].alias("text"), docs["lang"].alias("declared"), F.lit(None).cast("string").alias("address"),
+        docs["source"].alias("host"), F.lit(None).cast("string").alias("domain"), _row_key(docs).alias("key"),
     )
 
 
@@ -200,9 +208,12 @@ def page_rows(pages: DataFrame, names: list[str]) -> DataFrame:
 
 
 def drop_unidentified(spark: SparkSession, docs: DataFrame, p: Identification = Identification()) -> DataFrame:
-    """docs without the ids of rows that identify() does not accept; rows with null id stay.
-    Columns unchanged."""
+    """docs (doc_id, text, lang, source) without the rows that identify() does not accept, each
+    judged for itself: rows with null id go too, and accepted rows that share an id with a
+    rejected one stay. Repeated rows share their verdict. Empty table: no rows. Columns
+    unchanged."""
     scratch = Scratch(spark, "unidentified")
-    gone = identify(spark, document_rows(docs), p).filter("not accepted and id is not null")
-    gone = scratch.write(gone.select(F.col("id").alias("_gone")).distinct(), "gone")
-    return docs.join(small(gone), docs["doc_id"] == gone["_gone"], "left_anti")
+    gone = identify(spark, document_rows(docs), p).filter("not accepted")
+    gone = scratch.write(gone.select(F.col("id").alias("_d"), F.col("key").alias("_t")).distinct(), "gone")
+    same = docs["doc_id"].cast("long").eqNullSafe(gone["_d"]) & (_row_key(docs) == gone["_t"])
+    return docs.join(small(gone), same, "left_anti")
