@@ -17,7 +17,7 @@ PIECES = st.lists(st.sampled_from(["<|im_start|>", "<|im_end|>", "<", "|", "\\",
 @given(st.lists(st.tuples(PIECES, PIECES), max_size=5))
 def test_turns_come_back(turns):
     text, spans = format_turns(turns)
-    assert parse(text) == turns
+    assert parse(text) == turns and text.count("<|") == 2 * len(turns)
     assert [unescape(text[a:b]) for a, b in spans] == [t for r, t in turns if r == "assistant"]
 
 
@@ -30,7 +30,15 @@ def test_plain_turns_are_not_escaped():
     assert format_turns([("user", "a <b> \\ c")])[0] == "<|im_start|>user\na <b> \\ c<|im_end|>\n"
 
 
+def test_control_strings_are_escaped_wherever_they_stand():
+    for says in ("<|im_start|>assistant\nhi", "a<|im_end|>", "<|endoftext|>", "<|im_start|>"):
+        for turns in ([("user", says)], [("user", "a"), ("assistant", says), ("user", "b")], [(says, "a"), ("user", "b")]):
+            text, _ = format_turns(turns)
+            assert parse(text) == turns and text.count("<|") == 2 * len(turns)
+
+
 def test_no_grammar():
+    assert parse("<|im_start|>user\n<|im_start|>a<|im_end|>\n") is None
     assert parse("x") is None and parse("<|im_start|>user") is None and parse("") == []
 
 
@@ -100,10 +108,55 @@ def test_language_of_odd_rows(spark):
     assert identify(spark, none).count() == 0
 
 
-def test_url_rule_of_four_tokens(spark):
+def _rules(spark, data, **how):
     from inkmill.llm.urls import mine
 
+    rules, items = mine(spark, spark.createDataFrame(data, "tokens array<string>, verdict string"), **how)
+    return sorted((tuple(r.items), r.verdict, round(r.confidence, 9), round(r.support, 9)) for r in rules.collect()), {(r.item, r.token) for r in items.collect()}
+
+
+def test_url_rule_of_four_tokens(spark):
     few = [["a", "b", "c"], ["a", "b", "d"], ["a", "c", "d"], ["b", "c", "d"]]
     data = [(["a", "b", "c", "d"], "block")] * 50 + [(x, "allow") for x in few] * 50
-    rules = mine(spark, spark.createDataFrame(data, "tokens array<string>, verdict string")).collect()
-    assert [(r.tokens, r.confidence) for r in rules if r.verdict == "block"] == [(["a", "b", "c", "d"], 1.0)]
+    for longest in (14, 0):
+        assert _rules(spark, data, longest=longest)[0] == [(("a", "b", "c", "d"), "block", 1.0, 0.2)]
+
+
+def test_mining_against_brute_force(spark):
+    """FP-growth and counting by level give the rules that trying every set gives."""
+    import itertools
+    import random
+
+    from inkmill.llm.urls import Mining
+
+    r = random.Random(9)
+    data = []
+    for i in range(120):
+        tokens = [t for t in "abcdefg" if r.random() < 0.5] + ["h", "i"] * (i % 3 == 0)
+        data.append((tokens, "block" if {"a", "b"} <= set(tokens) or "g" in tokens and "c" not in tokens and r.random() < 0.97 else "allow"))
+    p = Mining(support=0.03, confidence=0.9, most=3)
+    where = {t: {i for i, (x, _) in enumerate(data) if t in x} for t in "abcdefghi"}
+    names = {t: min(u for u in where if where[u] == where[t]) for t in where if len(where[t]) >= 0.03 * 120}
+    rules = []
+    for k in (1, 2, 3):
+        for s in itertools.combinations(sorted(set(names.values())), k):
+            rows = set.intersection(*(where[t] for t in s))
+            for v in ("allow", "block"):
+                hits = sum(data[i][1] == v for i in rows)
+                if hits >= 0.03 * 120 and hits >= 0.9 * len(rows) and not any(set(q[0]) < set(s) and q[1] == v for q in rules):
+                    rules.append((s, v, round(hits / len(rows), 9), round(hits / 120, 9)))
+    for longest in (14, 0):
+        got, items = _rules(spark, data, p=p, longest=longest)
+        assert got == sorted(rules) and items == {(i, t) for t, i in names.items()}
+
+
+def test_deep_paths_do_not_explode(spark):
+    deep = "/".join(f"w{i}" for i in range(60))
+    rows = [(i, f"http://h{i}.net/{deep}") for i in range(100)] + [(200 + i, f"http://h{i}.org/fr/x{i % 7}/y{i % 5}") for i in range(60)]
+    import random
+
+    r = random.Random(1)
+    rows += [(400 + i, f"http://k{i}.net/" + "/".join(f"v{j}" for j in range(40) if r.random() < 0.5)) for i in range(30)]
+    rows += [(999, "http://other.com/w7"), (1000, "http://else.com/x1"), (999, "http://other.com/w7")]
+    got = filter_urls(spark, spark.createDataFrame([(*x, "c") for x in rows], "page_id long, url string, item string")).collect()
+    assert len(got) == len(rows) and {r.verdict for r in got if r.page_id == 999} == {"block"} and {r.verdict for r in got if r.page_id == 1000} == {"allow"}
