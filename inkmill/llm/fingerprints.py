@@ -1,14 +1,18 @@
 """Operator 8: document fingerprints as Merkle trees (DataFrame and SQL only).
 
-A text is cut into lines (paragraphs) and each line into leaves of up to LEAF characters,
-counted from the line's start, so that an insertion moves only the rest of its line. A leaf
-is a 32-bit hash in eight hex digits. SECTION consecutive leaves make a section, whose hash
-is over their texts, and the root's is over the sections' hashes. A fingerprint is
-
-    root "|" section ":" leaves "|" section ":" leaves ...
-
-so equal roots mean equal texts, differing sections show where to look, and differing
-leaves locate an edit to LEAF characters.
+A text is cut into paragraphs: lines, of which short ones go together until they have more than
+SHORT characters. A paragraph is cut into leaves: sentences, or of longer ones parts of up to
+SHORT characters. A section is a run of paragraphs that ends where a paragraph's own hash says
+so, after eight on average, so an edit moves no boundary but those beside it. A leaf's hash
+is over its text, every other node's over its children's hashes: 64 bits of MD5 each, and
+SHA-256 at the root. A fingerprint is
+
+    root "|" section ":" paragraphs "|" section ":" paragraphs ... "|~" sketch
+
+Equal roots mean equal texts, differing sections show where to look, and differing paragraphs
+locate an edit. Leaves are not stored one by one: the sketch holds the SKETCH smallest of their
+hashes, from which the likeness of two texts is told, exactly so if they have no more. So a
+fingerprint takes 16 characters a paragraph, which is of more than SHORT, and a bounded rest.
 """
 
 from __future__ import annotations
@@ -17,61 +21,91 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-LEAF, SECTION = 32, 16
+SHORT, SKETCH = 48, 64
+PARAGRAPH = rf"(?s).{{1,{SHORT}}}[^\n]*\n?"
+LEAF = rf"[^.!?\n]{{1,{SHORT}}}[.!?\n]*|[.!?\n]+"
+#: Last hex digits of a paragraph after which a section ends.
+LAST = ("0", "8")
 LOWEST = -(1 << 63)
 
 
-def pieces(text: Column) -> Column:
-    """The leaves' texts in order; the empty text has none."""
-    return F.regexp_extract_all(text, F.lit(rf"[^\n]{{1,{LEAF}}}\n?|\n"), F.lit(0))
-
+def _hash(text: Column) -> Column:
+    return F.substring(F.md5(text), 1, 16)
 
-def leaves(piece: Column) -> Column:
-    """The leaves' hashes."""
-    return F.transform(piece, lambda x: F.lpad(F.lower(F.hex(F.hash(x).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0"))
 
+def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
+    """df with one more column, the fingerprint of column text (null: as the empty text)."""
+    whole = F.coalesce(df[text], F.lit(""))
+    # One step a projection, so that no step is worked out twice; df's columns go along as one.
+    df = df.select(F.struct(*[df[c] for c in df.columns]).alias("own"), F.regexp_extract_all(whole, F.lit(PARAGRAPH), F.lit(0)).alias("paragraphs"))
+    leaves = F.transform("paragraphs", lambda p: F.transform(F.regexp_extract_all(p, F.lit(LEAF), F.lit(0)), _hash))
+    df = df.select("own", leaves.alias("leaves"))
+    df = df.select("own", F.slice(F.array_sort(F.array_distinct(F.flatten("leaves"))), 1, SKETCH).alias("sketch"), F.transform("leaves", lambda x: _hash(F.array_join(x, ""))).alias("nodes"))
+    last = F.size("nodes")
+    ends = F.filter(F.transform("nodes", lambda x, i: F.when(F.substring(x, -1, 1).isin(*LAST) | (i + 1 == last), i + 1)), lambda i: i.isNotNull())
+    df = df.select("own", "sketch", "nodes", ends.alias("ends"))
+    before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("ends", i - 1))
+    sections = F.transform("ends", lambda e, i: F.array_join(F.slice("nodes", before(i) + 1, e - before(i)), ""))
+    df = df.select("own", "sketch", F.transform(sections, lambda s: F.struct(_hash(s).alias("h"), s.alias("s"))).alias("sections"))
+    root = F.sha2(F.array_join(F.transform("sections", lambda s: s["h"]), ""), 256)
+    body = F.transform("sections", lambda s: F.concat(s["h"], F.lit(":"), s["s"]))
+    parts = F.concat(F.array(root), body, F.array(F.concat(F.lit("~"), F.array_join("sketch", ""))))
+    return df.select("own.*", F.array_join(parts, "|").alias(name))
 
-def fingerprint(piece: Column, leaf: Column) -> Column:
-    """The tree over a text's leaves, written as text."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size(piece), F.lit(1)), F.lit(SECTION))
-    hashes = F.transform(starts, lambda i: F.substring(F.sha2(F.array_join(F.slice(piece, i, SECTION), ""), 256), 1, 16))
-    sections = F.transform(hashes, lambda h, i: F.concat(h, F.lit(":"), F.array_join(F.slice(leaf, i * SECTION + 1, SECTION), "")))
-    return F.concat_ws("|", F.sha2(F.array_join(hashes, ""), 256), F.array_join(sections, "|"))
 
+def _hashes(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(".{16}"), F.lit(0))
 
-def leaves_of(fp: Column) -> Column:
-    """The leaf hashes of a fingerprint."""
-    runs = F.transform(F.slice(F.split(fp, r"\|"), 2, 1 << 30), lambda s: F.substring(s, 18, 1 << 30))
-    return F.flatten(F.transform(runs, lambda s: F.regexp_extract_all(s, F.lit(".{8}"), F.lit(0))))
 
-
-def likeness(a: Column, b: Column) -> Column:
-    """Of two leaf arrays: twice the distinct leaves in both over the distinct leaves of
-    each, added; 1 if both are empty."""
-    n = F.size(F.array_distinct(a)) + F.size(F.array_distinct(b))
-    return F.when(n == 0, F.lit(1.0)).otherwise(F.lit(2.0) * F.size(F.array_intersect(a, b)) / n)
+def sketch_of(fp: Column) -> Column:
+    return _hashes(F.substring_index(fp, "~", -1))
 
 
-def changed_leaves(fp_a: Column, fp_b: Column) -> Column:
-    """Zero-based leaf positions of fingerprint b whose leaf a does not have: where b was
-    edited. Sections with equal hashes at equal places are not looked into."""
-    a, b = F.split(fp_a, r"\|"), F.split(fp_b, r"\|")
-    seen = leaves_of(fp_a)
-    differing = F.filter(F.sequence(F.lit(2), F.size(b)), lambda i: ~F.coalesce(F.try_element_at(a, i) == F.element_at(b, i), F.lit(False)))
+def sections_of(fp: Column) -> Column:
+    """The sections of a fingerprint: array of (h, its hash, and paragraphs, theirs)."""
+    parts = F.split(fp, r"\|")
+    body = F.filter(parts, lambda x, i: (i > 0) & ~x.startswith("~"))
+    return F.transform(body, lambda x: F.struct(F.substring(x, 1, 16).alias("h"), _hashes(F.substring(x, 18, 1 << 30)).alias("paragraphs")))
 
-    def inside(i: Column) -> Column:
-        leaf = F.regexp_extract_all(F.substring(F.element_at(b, i), 18, 1 << 30), F.lit(".{8}"), F.lit(0))
-        marked = F.transform(leaf, lambda x, j: F.when(F.array_contains(seen, x), F.lit(-1)).otherwise((i - 2) * SECTION + j))
-        return F.filter(marked, lambda x: x >= 0)
 
-    found = F.when(F.element_at(a, 1) == F.element_at(b, 1), F.array().cast("array<int>")).otherwise(F.flatten(F.transform(differing, inside)))
-    return F.coalesce(found, F.array().cast("array<int>"))
+def likeness(a: Column, b: Column) -> Column:
+    """Of two fingerprints' sketches: with J the share that both have of the smallest hashes of
+    either, 2 J / (1 + J), which is what their leaves have in common over what they have on
+    average. 1 if both are empty."""
+    first = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
+    share = F.size(F.array_intersect(F.array_intersect(first, a), b)) / F.size(first)
+    return F.when(F.size(first) == 0, F.lit(1.0)).otherwise(F.lit(2.0) * share / (share + 1))
+
+
+def _leading(a: Column, b: Column) -> Column:
+    """How many entries at the start of two arrays are equal."""
+    at = F.array_position(F.zip_with(a, b, lambda x, y: ~x.eqNullSafe(y)), F.lit(True)).cast("int")
+    return F.when(at == 0, F.size(a)).otherwise(at - 1)
+
+
+def changed_paragraphs(fp_a: Column, fp_b: Column) -> Column:
+    """Where two texts differ: (start, end_a, end_b), zero-based paragraphs [start, end_a) of a
+    that b has as [start, end_b): inserted ones have end_a = start, deleted ones end_b = start,
+    swapped and repeated ones are within. Equal roots: start, end_a and end_b are null. Sections
+    that are equal from the start on are not looked into."""
+    a, b = sections_of(fp_a), sections_of(fp_b)
+    names = lambda s: F.transform(s, lambda x: x["h"])
+    inside = lambda s: F.flatten(F.transform(s, lambda x: x["paragraphs"]))
+    skip = _leading(names(a), names(b))
+    rest = lambda s: inside(F.slice(s, skip + 1, F.size(s)))
+    start = F.size(inside(F.slice(a, 1, skip))) + _leading(rest(a), rest(b))
+    tail = lambda s: F.reverse(F.slice(inside(s), start + 1, F.size(inside(s))))
+    same = F.least(_leading(tail(a), tail(b)), F.size(tail(a)), F.size(tail(b)))
+    equal = F.substring(fp_a, 1, 64) == F.substring(fp_b, 1, 64)
+    at = lambda x: F.when(~equal, x)
+    return F.struct(at(start).alias("start"), at(start + F.size(tail(a)) - same).alias("end_a"), at(start + F.size(tail(b)) - same).alias("end_b"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """docs with one more column, fingerprint, of the whole text; null text: as the empty one."""
-    piece = pieces(F.coalesce("text", F.lit("")))
-    return docs.withColumn("fingerprint", fingerprint(piece, leaves(piece)))
+    """docs (text) with one more column, fingerprint, of the whole text. Null text: as the empty
+    one, whose fingerprint has no sections. Any length; equal texts, repeated rows among them,
+    have equal fingerprints; other columns stay as they are. Empty table: no rows."""
+    return with_fingerprint(docs, "text", "fingerprint")
 
 
 def _literal(numbers: list[int]) -> Column:
@@ -91,8 +125,8 @@ def _place(key: Column, bounds: list[int]) -> Column:
 
 
 def with_next_text(spark: SparkSession, docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """doc_id, text, next_text: the text of the next document in descending doc_id order,
-    after the last the first. Null text: empty; null doc_id: the smallest; rows of one id
+    """doc_id, text, next_text, fingerprint, next_fingerprint: with each row the text of the
+    next document in descending doc_id order, after the last the first. Null text: empty; null doc_id: the smallest; rows of one id
     are ordered by text; a single row follows itself; empty table: no rows.
 
     The ids are cut at `buckets` of their own quantiles, which are few numbers. Each bucket
@@ -101,6 +135,7 @@ def with_next_text(spark: SparkSession, docs: DataFrame, buckets: int | None = N
     """
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    keyed = with_fingerprint(keyed, "text", "fingerprint")
     cuts = [i / buckets for i in range(1, buckets + 1)]
     found = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("key")).agg(F.percentile_approx("key", cuts, min(20 * buckets, 1_000_000)), F.max("key")).first()
     bounds = sorted({*(found[0] or []), found[1]} - {None}) or [0]
@@ -112,25 +147,24 @@ def with_next_text(spark: SparkSession, docs: DataFrame, buckets: int | None = N
     first = F.element_at(_literal(bounds), own + 1) == F.col("key")
     sent = keyed.withColumn("b", _place(F.col("key"), bounds))
     sent = sent.withColumn("to", F.explode(F.when(first, F.array(home, guest)).otherwise(F.array(home))))
-    sent = sent.select("key", "doc_id", "text", "to.b", "to.guest")
+    sent = sent.select("key", "doc_id", "text", "fingerprint", "to.b", "to.guest")
     order = W.partitionBy("b").orderBy("guest", F.col("key").desc(), "text")
-    return sent.withColumn("next_text", F.lead("text").over(order)).filter("not guest").select("doc_id", "text", "next_text")
+    sent = sent.withColumn("next_text", F.lead("text").over(order)).withColumn("next_fingerprint", F.lead("fingerprint").over(order))
+    return sent.filter("not guest").select("doc_id", "text", "next_text", "fingerprint", "next_fingerprint")
 
 
 def edited_fingerprints(spark: SparkSession, docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
     near_next of every row of docs (doc_id, text); see with_next_text() for nulls and ties.
     The edited text is the text with its last floor(n_chars / 2) characters replaced by the
-    first as many (or all) of the next document."""
-    n = F.length("text")
-    rows = with_next_text(spark, docs, buckets).withColumn("n_chars", n)
+    first as many (or all) of the next document. Other columns are not read."""
+    rows = with_next_text(spark, docs, buckets).withColumn("n_chars", F.length("text"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     kept = F.substring(F.col("text"), F.lit(1), F.col("n_chars") - half)
-    rows = rows.withColumn("edited", F.concat(kept, F.substring(F.col("next_text"), F.lit(1), half)))
-    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *[pieces(F.col(c)).alias(c) for c in ("text", "edited", "next_text")])
-    rows = rows.select("*", *[leaves(F.col(c)).alias(k) for c, k in (("text", "own"), ("edited", "new"), ("next_text", "next"))])
+    edited = F.concat(kept, F.substring(F.col("next_text"), F.lit(1), half))
+    rows = with_fingerprint(rows.select("doc_id", "n_chars", "fingerprint", "next_fingerprint", edited.alias("edited")), "edited", "edited_fingerprint")
+    own = sketch_of(F.col("fingerprint"))
     return rows.select(
-        "doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256",
-        fingerprint(F.col("text"), F.col("own")).alias("fingerprint"), fingerprint(F.col("edited"), F.col("new")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("new")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"),
+        "doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+        likeness(own, sketch_of(F.col("edited_fingerprint"))).alias("near_edited"), likeness(own, sketch_of(F.col("next_fingerprint"))).alias("near_next"),
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from inkmill.llm.chat import digest_formatted, format_conversations
 from inkmill.llm.decontamination import contamination
-from inkmill.llm.fingerprints import edited_fingerprints
+from inkmill.llm.fingerprints import LEAF, PARAGRAPH, edited_fingerprints
 from inkmill.llm.language import document_rows, identify, page_rows
 from inkmill.llm.mixing import mixture_table
 from inkmill.llm.near_duplicates import NearDuplicates, near_duplicates
@@ -124,6 +124,33 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM c GROUP BY conv_id
 """
 
+def _fingerprint_sql(x: str) -> str:
+    """The fingerprint of a text: paragraphs, leaves, their hashes, sections, root and sketch."""
+    nodes = "list_transform({l}, lambda q: left(md5(array_to_string(q, '')), 16))"
+    return f"""(SELECT array_to_string(list_concat([sha256(coalesce(array_to_string(list_transform(secs, lambda c: left(md5(c), 16)), ''), ''))],
+    list_transform(secs, lambda c: left(md5(c), 16) || ':' || c), ['~' || coalesce(array_to_string(sketch, ''), '')]), '|')
+  FROM (SELECT sketch, list_transform(ends, lambda e, i: array_to_string(nodes[(CASE WHEN i = 1 THEN 0 ELSE ends[i - 1] END) + 1:e], '')) AS secs
+    FROM (SELECT sketch, nodes, list_filter(generate_series(1, len(nodes)), lambda i: right(nodes[i], 1) IN ('0', '8') OR i = len(nodes)) AS ends
+      FROM (SELECT list_sort(list_distinct(flatten(l)))[1:64] AS sketch, {nodes.format(l="l")} AS nodes
+        FROM (SELECT list_transform(regexp_extract_all({x}, '{PARAGRAPH}'), lambda p: list_transform(regexp_extract_all(p, '{LEAF}'), lambda y: left(md5(y), 16))) AS l)))))"""
+
+
+def _likeness_sql(a: str, b: str) -> str:
+    """Twice the share of common leaf hashes among the 64 smallest of both, over one and that share."""
+    x, y = (f"list_filter(regexp_extract_all(split_part({f}, '~', 2), '.{{16}}'), lambda h: h <> '')" for f in (a, b))
+    return f"""(SELECT CASE WHEN len(u) = 0 THEN 1.0 ELSE 2.0 * (len(c)::DOUBLE / len(u)) / (len(c)::DOUBLE / len(u) + 1) END
+  FROM (SELECT u, list_filter(u, lambda h: list_contains({x}, h) AND list_contains({y}, h)) AS c FROM (SELECT list_sort(list_distinct(list_concat({x}, {y})))[1:64] AS u)))"""
+
+
+#: Holds where doc_ids are distinct and not null.
+OP8_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT doc_id, text, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next FROM d WINDOW w AS (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+e AS (SELECT doc_id, text, next, left(text, (length(text) - length(text) // 2)::BIGINT) || left(next, (length(text) // 2)::BIGINT) AS edited FROM n),
+f AS (SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256, {_fingerprint_sql("text")} AS fingerprint, {_fingerprint_sql("edited")} AS edited_fingerprint, {_fingerprint_sql("next")} AS next_fingerprint FROM e)
+SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, {_likeness_sql("fingerprint", "edited_fingerprint")} AS near_edited, {_likeness_sql("fingerprint", "next_fingerprint")} AS near_next FROM f
+"""
+
 QUERIES = (
     op1_token_files, op2_quality, op3_decontamination, op4_mixing, op5_chat_formatting, op6_near_duplicates,
     op7_language_id, op7_language_id_pages, op8_fingerprints, op9_url_filters, op10_toxicity,
@@ -135,4 +162,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL, "op5_chat_formatting": OP5_SQL}
+    return {"op3_decontamination": OP3_SQL, "op5_chat_formatting": OP5_SQL, "op8_fingerprints": OP8_SQL}

@@ -114,3 +114,33 @@ def targets(sizes, weights=(1, 2, 3), cap=3):
         left -= sum(full[s] for s in over)
         open_ = [s for s in open_ if s not in full]
     return full
+
+
+def fingerprint(text, short=48):
+    """The Merkle tree of a text, written as text."""
+    h = lambda x: hashlib.md5(x.encode()).hexdigest()[:16]
+    paragraphs, at = [], 0
+    while at < len(text):
+        end = text.find("\n", min(at + short, len(text)))
+        end = len(text) if end < 0 else end + 1
+        paragraphs.append(text[at:end])
+        at = end
+    leaves = [[h(x) for x in re.findall(rf"[^.!?\n]{{1,{short}}}[.!?\n]*|[.!?\n]+", p)] for p in paragraphs]
+    sections = [""]
+    for node in (h("".join(x)) for x in leaves):
+        sections[-1] += node
+        if node[-1] in "08":
+            sections.append("")
+    sections = [x for x in sections if x]
+    sketch = sorted({x for y in leaves for x in y})[:64]
+    root = hashlib.sha256("".join(map(h, sections)).encode()).hexdigest()
+    return "|".join([root, *(f"{h(x)}:{x}" for x in sections), "~" + "".join(sketch)])
+
+
+def likeness(a, b):
+    x, y = (set(re.findall(".{16}", f.split("~")[1])) for f in (a, b))
+    first = sorted(x | y)[:64]
+    if not first:
+        return 1.0
+    share = sum(h in x and h in y for h in first) / len(first)
+    return 2 * share / (1 + share)

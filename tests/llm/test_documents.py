@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from inkmill.llm import queries as q
 from inkmill.llm.decontamination import contamination, drop_contaminated
-from inkmill.llm.fingerprints import changed_leaves, edited_fingerprints, fingerprints, leaves_of
+from inkmill.llm.fingerprints import changed_paragraphs, edited_fingerprints, fingerprints, sections_of
 from inkmill.llm.graph import connected_components
 from inkmill.llm.mixing import mix, mixture_table
 from inkmill.llm.near_duplicates import NearDuplicates, drop_near_duplicates, near_duplicates
@@ -211,11 +211,11 @@ def _edited(data):
 def test_fingerprints(spark, docs, buckets):
     data = [*docs, (5000, None), (5001, "é😀\n" * 50), (-3, "x")]
     got = {r.doc_id: r for r in edited_fingerprints(spark, table(spark, data), buckets).collect()}
-    fp = {t: r.fingerprint for (_, t), r in zip(data, (got[d] for d, _ in data))}
     for d, text, edited, nxt in _edited(data):
         assert got[d].n_chars == len(text) and got[d].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert (got[d].near_next == 1) == (fp.get(nxt or None, fp.get(nxt)) == got[d].fingerprint) or got[d].near_next < 1
-        assert 0 <= got[d].near_edited <= 1 and (got[d].edited_fingerprint == got[d].fingerprint) == (edited == text)
+        own, new, after = (brute.fingerprint(t) for t in (text, edited, nxt))
+        assert (got[d].fingerprint, got[d].edited_fingerprint) == (own, new)
+        assert got[d].near_edited == pytest.approx(brute.likeness(own, new)) and got[d].near_next == pytest.approx(brute.likeness(own, after))
     long_ = [r for r in got.values() if r.n_chars > 2000]
     assert np.mean([r.near_edited for r in long_]) > 0.4 > np.mean([r.near_next for r in long_])
 
@@ -226,13 +226,35 @@ def test_fingerprints_of_odd_rows(spark):
     assert edited_fingerprints(spark, table(spark, [(9, "abcd")])).first().edited_sha256 == hashlib.sha256(b"abab").hexdigest()
 
 
+def test_likeness_of_short_texts_is_exact():
+    a, b = (brute.fingerprint(" ".join(f"Sentence {i}." for i in x)) for x in (range(40), range(20, 50)))
+    assert brute.likeness(a, b) == pytest.approx(2 * 20 / 70, abs=0.03)
+
+
+def test_fingerprints_are_small(spark):
+    data = [(1, "\n" * 20_000), (2, "a\n" * 10_000), (3, "x" * 50_000), (4, "ab. " * 10_000), (5, "\n".join(f"line number {i}" for i in range(5000)))]
+    got = fingerprints(table(spark, [(*x, b"") for x in data], ", _leaves binary")).collect()
+    assert all(len(r.fingerprint) < len(r.text) / 2 + 1200 for r in got)
+
+
 def test_edits_are_located(spark):
-    a = "\n".join(f"line number {i} of the text" for i in range(60))
-    df = fingerprints(table(spark, [(1, a), (2, a.replace("number 40", "number forty")), (3, a)]))
-    fp = {r.doc_id: r.fingerprint for r in df.collect()}
-    assert fp[1] == fp[3] != fp[2]
-    both = spark.createDataFrame([(fp[1], fp[2])], "a string, b string").select(changed_leaves(F.col("a"), F.col("b")).alias("c"), F.size(leaves_of(F.col("a"))).alias("n")).first()
-    assert both.c == [40] and both.n == 60
+    lines = [f"this is line number {i} of the text, long enough to be a paragraph" for i in range(60)]
+    cases = {
+        "same": (lines, None),
+        "changed": ([*lines[:40], "another line that is as long as the others are here", *lines[41:]], (40, 41, 41)),
+        "inserted": ([*lines[:7], lines[30] + "!", *lines[7:]], (7, 7, 8)),
+        "deleted": ([*lines[:50], *lines[51:]], (50, 51, 50)),
+        "swapped": ([*lines[:10], lines[11], lines[10], *lines[12:]], (10, 12, 12)),
+        "repeated": ([*lines[:20], lines[19], *lines[20:]], (20, 20, 21)),
+        "empty": ([], (0, 60, 0)),
+    }
+    text = lambda x: "".join(y + "\n" for y in x)
+    fp = {r.name: r.fingerprint for r in fingerprints(spark.createDataFrame([(k, text(x)) for k, (x, _) in cases.items()], "name string, text string")).collect()}
+    for k, (x, where) in cases.items():
+        both = spark.createDataFrame([(fp["same"], fp[k])], "a string, b string")
+        r = both.select(changed_paragraphs(F.col("a"), F.col("b")).alias("c"), sections_of(F.col("b")).alias("s")).first()
+        assert tuple(r.c) == (where or (None,) * 3), k
+        assert sum(len(y.paragraphs) for y in r.s) == len(x) and (fp[k] == fp["same"]) == (k == "same")
 
 
 # --- 2 and 10 ---------------------------------------------------------------------------
