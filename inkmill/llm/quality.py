@@ -1,10 +1,13 @@
 """Operator 2: quality by hierarchical empirical Bayes.
 
 A logistic model on surface features of the whole text, fitted in numpy, gives each
-document's own evidence. Labels counted by host and by path of the host give posteriors of
-sites: a host shrinks to the global rate, a path to its host, by Beta priors whose strength
-is estimated from the spread between hosts. A document's log-odds are its own evidence
-plus what its site's posterior adds to the global rate.
+document's own evidence, always by a model that was fitted without the document's fold.
+Grouped by host and by path of the host, labels are held against what the evidence expects of
+the same documents: how many times as many good (and bad) ones a site has is a posterior that
+shrinks from the path's to the host's and from the host's to the global 1, by Gamma priors
+whose strengths are estimated for either level from the spread within it. A document's
+log-odds are its evidence plus its site's log-odds ratio, so what the text explains does not
+count twice; and its own label is taken out of its site's counts before.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkmill.llm._shared import Scratch, frugal, small
@@ -25,10 +28,11 @@ FEATURES = ("length", "letters", "digits", "symbols", "upper", "spaces", "lines"
 
 @dataclass(frozen=True)
 class QualityModel:
-    """Most labelled rows to fit on (the smallest by hash of the id), Newton steps, ridge,
-    how much of a site's log-odds counts, least score to keep."""
+    """Most labelled rows to fit on (the smallest by hash of the id), folds, Newton steps,
+    ridge, how much of a site's log-odds counts, least score to keep."""
 
     sample: int = 20_000
+    folds: int = 5
     steps: int = 25
     ridge: float = 1.0
     site: float = 1.0
@@ -85,50 +89,81 @@ def fit(x: np.ndarray, y: np.ndarray, p: QualityModel) -> tuple[np.ndarray, np.n
     return mean, scale, w[:-1], float(w[-1])
 
 
+def _strength(spread: float, chance: float, expected: float) -> float:
+    """The strength of a Gamma prior by moments: of squared differences between what is found and
+    expected, what is beyond chance, against the squares of the expected."""
+    return float(np.clip(expected / max(spread - chance, 1e-9), 1.0, 1e4))
+
+
+def _evidence(model: list[tuple], fold: Column) -> Column:
+    """The log-odds that the model of a row's fold gives its features."""
+    out, k = F.lit(0.0), len(FEATURES)
+    for f, (mean, scale, w, bias) in enumerate(model):
+        logit = F.lit(bias)
+        for j in range(k):
+            z = F.greatest(F.lit(-5.0), F.least(F.lit(5.0), (F.col("features")[j] - float(mean[j])) / float(scale[j])))
+            logit = logit + z * float(w[j]) + z * z * float(w[k + j])
+        out = F.when(fold == f, logit).otherwise(out)
+    return out
+
+
 def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, p: QualityModel = QualityModel()) -> DataFrame:
-    """doc_id, evidence (log-odds of the text), site_rate (posterior of its site), score,
-    kept of every row of docs (doc_id, host, path, text); labels (doc_id, quality).
+    """doc_id, evidence (log-odds of the text), site_rate (posterior share of good documents of
+    its site), score, kept of every row of docs (doc_id, host, path, text); labels (doc_id,
+    quality).
 
     A label counts once per id: the mean of its labels. Null labels and ids are not learnt
-    from. Null text: as the empty one. Null host or path: a site of its own. No labels at
-    all: evidence 0 and score 0.5. Empty table: no rows. Other columns are not read.
+    from. Null text: as the empty one. Null host or path: a site of its own. Sites without
+    labels have their host's posterior, hosts without labels the global one. Repeated rows
+    have equal results. No labels at all: evidence 0 and score 0.5. Empty table: no rows.
+    Other columns are not read. Texts of any length are read whole.
     """
     scratch = Scratch(spark, "quality")
     known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("i")).agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
-    rows = scratch.write(features(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "host", "path", "text")), "features")
-    told = rows.join(known, F.col("doc_id") == F.col("i"))
-    sample = told.select("doc_id", "features", "y").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(p.sample).toArrow()
+    rows = features(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "host", "path", "text"))
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(p.folds)).cast("int")
+    rows = rows.withColumn("fold", fold).join(known, F.col("doc_id") == F.col("i"), "left").drop("i")
+    rows = scratch.write(rows, "features")
+    sample = rows.filter("y is not null").select("fold", "features", "y", F.xxhash64("doc_id", F.lit(3)).alias("h"), "doc_id").orderBy("h", "doc_id").limit(p.sample).toArrow()
     n = sample.num_rows
-    y = np.array(sample.column("y").to_pylist(), float)
     if not n:
         return rows.select("doc_id", F.lit(0.0).alias("evidence"), F.lit(0.5).alias("site_rate"), F.lit(0.5).alias("score"), F.lit(True).alias("kept"))
-    mean, scale, w, bias = fit(np.array(sample.column("features").to_pylist(), float).reshape(n, -1), y, p)
-    k = len(FEATURES)
-    logit = F.lit(bias)
-    for j in range(k):
-        z = F.greatest(F.lit(-5.0), F.least(F.lit(5.0), (F.col("features")[j] - float(mean[j])) / float(scale[j])))
-        logit = logit + z * float(w[j]) + z * z * float(w[k + j])
-    # Sites: one row per path, and per host; the strength of the global prior from all hosts.
-    paths = scratch.write(told.groupBy("host", "path").agg(F.count("*").cast("double").alias("n"), F.sum("y").cast("double").alias("s")), "paths")
-    hosts = paths.groupBy(F.col("host").alias("h")).agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
-    a = hosts.agg(F.sum("hn"), F.sum("hs"), F.count("*"), F.sum(F.col("hs") * F.col("hs") / F.col("hn")), F.sum(F.col("hn") * F.col("hn"))).first()
-    total, good, count, square, n2 = (float(v or 0) for v in a)
-    rate = (good + 1) / (total + 2)
-    # Between-host variance by moments: observed spread less what chance alone gives.
-    spread = square - 2 * rate * good + rate * rate * total
-    between = max(1e-6, (spread - (count - 1) * rate * (1 - rate)) / max(1.0, total - n2 / max(total, 1.0)))
-    strength = float(np.clip(rate * (1 - rate) / between - 1, 1.0, 1e4))
-    shrink = lambda s, m, to: (s + F.lit(strength) * to) / (m + F.lit(strength))
-    sites = paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).select(
-        F.col("host").alias("h"), F.col("path").alias("q"), shrink(F.col("s"), F.col("n"), shrink(F.col("hs"), F.col("hn"), F.lit(rate))).alias("site")
-    )
-    sites = scratch.write(sites, "sites")
-    at = rows.join(small(sites, 300_000), F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("q")), "left")
-    site = F.coalesce("site", F.lit(rate))
-    at = at.select("doc_id", logit.alias("evidence"), site.alias("site_rate"))
-    odds = F.col("evidence") + F.lit(p.site) * (F.log(F.col("site_rate") / (1 - F.col("site_rate"))) - F.lit(float(np.log(rate / (1 - rate)))))
-    at = at.withColumn("score", 1 / (1 + F.exp(-odds)))
-    return at.withColumn("kept", F.col("score") >= p.least)
+    x = np.array(sample.column("features").to_pylist(), float).reshape(n, -1)
+    y, at = np.array(sample.column("y").to_pylist(), float), np.array(sample.column("fold").to_pylist())
+    whole = fit(x, y, p)
+    model = [fit(x[at != f], y[at != f], p) if 0 < (at != f).sum() < n else whole for f in range(p.folds)]
+    rows = rows.select("doc_id", "host", "path", "y", _evidence(model, F.col("fold")).alias("evidence"))
+    rows = scratch.write(rows.withColumn("p", 1 / (1 + F.exp(-F.col("evidence")))), "evidence")
+    scratch.drop("features")
+    # Sites: labels, good ones, good ones expected, and their variance by chance.
+    sums = [F.count("*").cast("double").alias("n"), F.sum("y").cast("double").alias("s"), F.sum("p").alias("e"), F.sum(F.col("p") * (1 - F.col("p"))).alias("v")]
+    paths = scratch.write(rows.filter("y is not null").groupBy("host", "path").agg(*sums), "paths")
+    hosts = paths.groupBy("host").agg(*[F.sum(c).alias(c) for c in "nsev"])
+    hosts = scratch.write(hosts.select(F.col("host").alias("h"), *[F.col(c).alias(f"h{c}") for c in "nsev"]), "hosts")
+    total = hosts.agg(*[F.sum(f"h{c}") for c in "ns"], F.sum(F.pow(F.col("hs") - F.col("he"), 2)), F.sum("hv"), F.sum(F.pow("he", F.lit(2)))).first()
+    rate, kh = (total[1] + 1) / (total[0] + 2), _strength(*total[2:])
+    both = paths.join(small(hosts), F.col("host").eqNullSafe(F.col("h")))
+    # Of paths against their own host: expected at the host's own ratio.
+    here = F.col("e") * (F.col("hs") + kh) / (F.col("he") + kh)
+    inner = both.agg(F.sum(F.pow(F.col("s") - here, 2)), F.sum(F.col("v") * (1 - F.col("e") / F.greatest("he", F.lit(1e-9)))), F.sum(F.pow(here, 2))).first()
+    kp = _strength(*inner)
+    at = rows.join(small(hosts), F.col("host").eqNullSafe(F.col("h")), "left")
+    sites = paths.select(F.col("host").alias("ph"), F.col("path").alias("q"), *[F.col(c).alias(f"p{c}") for c in "nse"])
+    at = at.join(small(scratch.write(sites, "sites")), F.col("host").eqNullSafe(F.col("ph")) & F.col("path").eqNullSafe(F.col("q")), "left")
+    own = {"n": F.when(F.col("y").isNull(), 0.0).otherwise(1.0), "s": F.coalesce(F.col("y").cast("double"), F.lit(0.0)), "e": F.when(F.col("y").isNull(), 0.0).otherwise(F.col("p"))}
+    left = {f"{level}{c}": F.greatest(F.coalesce(F.col(f"{level}{c}"), F.lit(0.0)) - own[c], F.lit(0.0)) for level in "hp" for c in "nse"}
+    at = at.select("doc_id", "evidence", *[x.alias(k) for k, x in left.items()])
+
+    def ratio(found: str, expected: Column, level_found: str, level_expected: Column) -> Column:
+        host = (F.expr(level_found) + kh) / (level_expected + kh)
+        return (F.expr(found) + F.lit(kp) * host) / (expected + kp)
+
+    good = ratio("ps", F.col("pe"), "hs", F.col("he"))
+    bad = ratio("pn - ps", F.greatest(F.expr("pn - pe"), F.lit(0.0)), "hn - hs", F.greatest(F.expr("hn - he"), F.lit(0.0)))
+    host_rate = (F.col("hs") + F.lit(kh * rate)) / (F.col("hn") + kh)
+    at = at.select("doc_id", "evidence", ((F.col("ps") + kp * host_rate) / (F.col("pn") + kp)).alias("site_rate"), (F.log(good) - F.log(bad)).alias("site"))
+    score = 1 / (1 + F.exp(-(F.col("evidence") + F.lit(p.site) * F.col("site"))))
+    return at.select("doc_id", "evidence", "site_rate", score.alias("score"), (score >= p.least).alias("kept"))
 
 
 def document_sites(docs: DataFrame) -> DataFrame:

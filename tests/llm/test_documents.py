@@ -287,20 +287,55 @@ def test_toxicity_of_odd_rows(spark):
     assert toxicity(spark, table(spark, []), labels).count() == 0
 
 
-def test_quality(spark):
+def test_quality_of_rows_not_fitted_on(spark):
+    """Evidence is out of fold and a row's own label is not in its site, so all labelled rows test."""
     sf = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     got = q.op2_quality(spark, sf).collect()
-    assert len(got) == 1000
+    assert len(got) == 1000 and all(0 <= r.score <= 1 and 0 < r.site_rate < 1 and r.kept == (r.score >= 0.5) for r in got)
     assert _auc([(r.score, labels[r.doc_id]) for r in got if r.doc_id in labels]) > 0.8
 
 
+def test_quality_sites_against_brute_force(spark):
+    """Sites of many and of few labels: posteriors from counts in plain Python."""
+    from inkmill.llm.quality import quality
+
+    r = random.Random(8)
+    data, labels = [], []
+    for i in range(400):
+        host = f"h{min(int(r.expovariate(0.5)), 9)}"
+        path = f"p{r.randrange(3)}"
+        data.append((i, "word " * r.randint(1, 40) + "x" * r.randint(0, 5), host, path))
+        good = r.random() < (0.9 if host in ("h0", "h3") else 0.2 if path == "p1" else 0.5)
+        labels += [(i, int(good))] * (1 + i % 2) if i % 5 else []
+    data += [(900, "word " * 9, "h0", "new"), (901, "word " * 9, "other", None), (902, None, None, None)]
+    got = {x.doc_id: x for x in quality(spark, table(spark, [(*x, 0.0) for x in data], ", host string, path string, p double"), spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    y = dict(labels)
+    p = {d: 1 / (1 + np.exp(-got[d].evidence)) for d, *_ in data}
+    add = lambda key: {k: np.sum([(1, y[d], p[d], p[d] * (1 - p[d])) for d, _, *site in data if d in y and tuple(site[: len(k)]) == k], 0) for k in {tuple(site[:key]) for d, _, *site in data if d in y}}
+    hosts, paths = add(1), add(2)
+    strength = lambda a, b, c: float(np.clip(c / max(a - b, 1e-9), 1, 1e4))
+    h = np.array(list(hosts.values()))
+    kh = strength(((h[:, 1] - h[:, 2]) ** 2).sum(), h[:, 3].sum(), (h[:, 2] ** 2).sum())
+    rate = (h[:, 1].sum() + 1) / (h[:, 0].sum() + 2)
+    here = {k: v[2] * (hosts[k[:1]][1] + kh) / (hosts[k[:1]][2] + kh) for k, v in paths.items()}
+    kp = strength(sum((v[1] - here[k]) ** 2 for k, v in paths.items()), sum(v[3] * (1 - v[2] / hosts[k[:1]][2]) for k, v in paths.items()), sum(x * x for x in here.values()))
+    for d, _, *site in data:
+        own = np.array((1, y[d], p[d], 0.0)) if d in y else np.zeros(4)
+        hn, hs, he, _ = np.maximum(hosts.get(tuple(site[:1]), np.zeros(4)) - own, 0)
+        pn, ps, pe, _ = np.maximum(paths.get(tuple(site), np.zeros(4)) - own, 0)
+        good, bad = (ps + kp * (hs + kh) / (he + kh)) / (pe + kp), (pn - ps + kp * (hn - hs + kh) / (max(hn - he, 0) + kh)) / (max(pn - pe, 0) + kp)
+        assert got[d].site_rate == pytest.approx((ps + kp * (hs + kh * rate) / (hn + kh)) / (pn + kp))
+        assert got[d].score == pytest.approx(1 / (1 + np.exp(-(got[d].evidence + np.log(good / bad)))))
+    assert got[901].site_rate == pytest.approx(rate) and got[900].site_rate > rate
+
+
 def test_quality_of_odd_rows(spark):
     from inkmill.llm.quality import document_sites, quality
 
     docs = table(spark, [(*r, None, "s") for r in ODD], ", lang string, source string")
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, None), (None, 1), (5, 1), (5, 0)], "doc_id long, quality int")
-    assert quality(spark, document_sites(docs), labels).count() == len(ODD)
+    assert quality(spark, document_sites(docs.union(docs)), labels).count() == 2 * len(ODD)
     assert {r.score for r in quality(spark, document_sites(docs), labels.limit(0)).collect()} == {0.5}
     assert quality(spark, document_sites(docs.limit(0)), labels).count() == 0
 
