@@ -4,11 +4,14 @@ Every document gets the exponential key -ln(u) / w, where u is a uniform number
 its id and w its quality weight; the smallest keys of a source are a weighted sample
 without replacement. A source takes all its documents as often as its target holds its
 size (complete epochs); the rest of the target is filled in key order up to the word
-budget, found by prefix sums over range-partitioned keys: no source meets in one task.
+budget, found by prefix sums over range-partitioned keys: no source meets in one task. The
+document in which the budget ends is taken if that brings the source nearer to its target.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,8 +19,6 @@ from pyspark.sql import functions as F
 from inkmill.llm._shared import Scratch, small
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Documents that may be taken out of order to fill the end of a budget.
-CLOSING = 3
 #: Characters that running prose is not made of.
 NOISE = "0123456789#$%&*@^_|~<>{}[]=+\\/"
 
@@ -27,15 +28,21 @@ def n_words(text: Column) -> Column:
 
 
 def text_quality(text: Column) -> Column:
-    """A weight in [0.05, 1]: the share of characters that are not NOISE, squared."""
+    """A quality weight in [0.05, 1] of the text alone: the share of characters that are not
+    NOISE, squared. It needs no join, so no text is shuffled for it."""
     n = F.length(text)
     share = F.length(F.translate(text, NOISE, "")) / F.greatest(n, F.lit(1))
     return F.coalesce(F.greatest(share * share, F.lit(0.05)), F.lit(0.05))
 
 
-def sampling_key(doc_id: Column, weight: Column, seed: int) -> Column:
-    """-ln(u) / weight with u in (0, 1) from the hash of the id: the same in every run."""
-    bits = F.shiftrightunsigned(F.xxhash64(doc_id, F.lit(seed)), 11)
+def row_hash(doc_id: Column, text: Column, seed: int) -> Column:
+    """Equal for rows of equal id and text only (a null id or text is one of its own)."""
+    return F.xxhash64(doc_id.isNull(), doc_id, F.coalesce(text, F.lit("")), F.lit(seed))
+
+
+def sampling_key(hash_: Column, weight: Column) -> Column:
+    """-ln(u) / weight with u in (0, 1) from the hash: the same in every run."""
+    bits = F.shiftrightunsigned(hash_, 11)
     return -F.log((bits + F.lit(0.5)) / F.lit(float(1 << 53))) / weight
 
 
@@ -62,115 +69,73 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], most_epochs: fl
     return level.select("source", "source_size", F.least(F.col("cap"), F.col("level") * F.col("w")).alias("target"))
 
 
+def _keyed(docs: DataFrame, weight: Callable[[Column], Column], seed: int) -> list[Column]:
+    doc_id, text = docs["doc_id"].cast("long"), docs["text"]
+    hash_ = row_hash(doc_id, text, seed)
+    return [docs["source"].alias("source"), sampling_key(hash_, weight(text)).alias("key"), hash_.alias("hash")]
+
+
 def plan_mixture(
-    spark: SparkSession, docs: DataFrame, scratch: Scratch, weights=(1.0, 2.0, 3.0), most_epochs: float = 3.0, share: float = 1.0, seed: int = 17
+    spark: SparkSession, docs: DataFrame, scratch: Scratch, weights=(1.0, 2.0, 3.0), most_epochs: float = 3.0, share: float = 1.0, seed: int = 17,
+    weight: Callable[[Column], Column] = text_quality,
 ) -> tuple[DataFrame, DataFrame]:
-    """(documents: doc_id, source, size, key; plan: source, source_size, target, epochs,
-    last_part, last_key, last_id, extra). A document of a source is taken `epochs` times, and once
-    more if (key, doc_id) is not after (last_key, last_id) or if it is one of `extra`: up to
-    CLOSING documents beyond the prefix whose sizes best fill what is left of the budget."""
-    keyed = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        "source",
-        n_words(F.col("text")).alias("size"),
-        sampling_key(F.col("doc_id").cast("long"), text_quality(F.col("text")), seed).alias("key"),
-    )
-    keyed = (
-        scratch.write(
-            scratch.write(keyed, "keyed").repartitionByRange("source", "key", "doc_id").withColumn("part", F.spark_partition_id()), "sorted"
-        )
-    )
+    """(documents: doc_id, size, source, key, hash; plan: source, source_size, target, epochs,
+    last_key, last_hash). A document of a source is taken `epochs` times, and once more if
+    (key, hash) is not after (last_key, last_hash); these are null where none is."""
+    keyed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), n_words(docs["text"]).alias("size"), *_keyed(docs, weight, seed))
+    keyed = scratch.write(keyed, "keyed").repartitionByRange("source", "key", "hash").withColumn("part", F.spark_partition_id())
+    keyed = scratch.write(keyed, "sorted")
     scratch.drop("keyed")
-    parts = keyed.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
+    parts = keyed.groupBy("source", "part").agg(F.sum("size").alias("part_size"), F.max(F.struct("key", "hash")).alias("top"))
     parts = scratch.write(parts, "parts")
     goals = source_targets(parts.groupBy("source").agg(F.sum("part_size").alias("source_size")), weights, most_epochs, share)
     goals = goals.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     goals = scratch.write(goals.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "goals")
     # The part in which a source's budget ends; only that part is summed row by row.
     order = W.partitionBy("source").orderBy("part")
-    base = parts.withColumn("base", F.sum("part_size").over(order) - F.col("part_size"))
+    base = parts.withColumn("base", F.sum("part_size").over(order) - F.col("part_size")).withColumn("before", F.lag("top").over(order))
     base = base.join(small(goals), parts["source"].eqNullSafe(goals["source"])).select(
-        parts["source"].alias("s"), F.col("part").alias("p"), "base", "rest", (F.col("base") + F.col("part_size")).alias("upto")
-    )
-    ends = scratch.write(base.filter("base <= rest and rest < upto"), "ends")
-    inside = keyed.join(small(ends), keyed["source"].eqNullSafe(F.col("s")) & (F.col("part") == F.col("p"))).withColumn(
-        "upto", F.col("base") + F.sum("size").over(W.partitionBy("s", "p").orderBy("key", "doc_id"))
-    )
-    last = inside.filter("upto <= rest").groupBy("s").agg(F.max(F.struct("key", "doc_id", "upto")).alias("last"))
-    last = ends.join(last.withColumnRenamed("s", "s2"), F.col("s").eqNullSafe(F.col("s2")), "left").select(
-        "s", "p", F.col("last.key").alias("last_key"), F.col("last.doc_id").alias("last_id"), (F.col("rest") - F.coalesce("last.upto", "base")).alias("gap")
-    )
-    last = scratch.write(last, "last")
-    after = keyed.join(small(last), keyed["source"].eqNullSafe(F.col("s"))).filter(
-        (F.col("part") > F.col("p")) | (F.col("part") == F.col("p")) & (F.col("last_key").isNull() | (F.struct("key", "doc_id") > F.struct("last_key", "last_id")))
-    )
-    # Closing documents: what best fits the words that are left, so that the source comes
-    # near its target though the documents in key order are coarse.
-    closing = last.select("s", "gap", F.array().cast("array<long>").alias("extra"))
-    for k in range(CLOSING):
-        open_ = closing.select(F.col("s").alias("c"), F.col("gap").alias("g"), "extra").filter("g > 0")
-        fit = F.abs(F.col("g") - F.col("size"))
-        fits = (F.col("size") <= F.col("g")) & (F.col("size") > 0) if k < CLOSING - 1 else fit < F.col("g")
-        best = (
-            after.drop("gap").join(small(open_), F.col("s").eqNullSafe(F.col("c")))
-            .filter(fits & F.col("doc_id").isNotNull() & ~F.array_contains("extra", F.col("doc_id")))
-            .groupBy(F.col("s").alias("c")).agg(F.min(F.struct(fit.alias("fit"), "doc_id", "size")).alias("best"))
-        )
-        closing = closing.join(best, F.col("s").eqNullSafe(F.col("c")), "left").select(
-            "s", (F.col("gap") - F.coalesce("best.size", F.lit(0))).alias("gap"),
-            F.when(F.col("best").isNull(), F.col("extra")).otherwise(F.array_append("extra", F.col("best.doc_id"))).alias("extra"),
-        )
-        closing = scratch.write(closing, f"closing-{k}")
-    plan = (
-        goals.join(last.drop("gap"), goals["source"].eqNullSafe(F.col("s")), "left")
-        .withColumnRenamed("p", "last_part")
-        .join(closing.select(F.col("s").alias("s3"), "extra"), goals["source"].eqNullSafe(F.col("s3")), "left")
-        .select("source", "source_size", "target", "epochs", "rest", "last_part", "last_key", "last_id", "extra")
+        parts["source"].alias("s"), F.col("part").alias("p"), "base", "before", "rest", (F.col("base") + F.col("part_size")).alias("upto")
     )
+    ends = scratch.write(base.filter("base <= rest and rest < upto").drop("upto"), "ends")
+    # Rows of one key are taken together, and one word of the budget more or less is as near.
+    inside = keyed.join(small(ends), keyed["source"].eqNullSafe(F.col("s")) & (F.col("part") == F.col("p"))).groupBy("s", "base", "before", "rest", "key", "hash").agg(F.sum("size").alias("size"))
+    inside = inside.withColumn("upto", F.col("base") + F.sum("size").over(W.partitionBy("s").orderBy("key", "hash")))
+    taken = (F.col("upto") <= F.col("rest")) | (F.col("upto") - F.col("rest") <= F.col("rest") - (F.col("upto") - F.col("size")))
+    last = inside.groupBy("s", "before").agg(F.max(F.when(taken, F.struct("key", "hash"))).alias("last"))
+    last = scratch.write(last.select("s", F.coalesce("last", "before").alias("last")), "last")
+    plan = goals.join(last, goals["source"].eqNullSafe(F.col("s")), "left")
+    plan = plan.select("source", "source_size", "target", "epochs", F.col("last.key").alias("last_key"), F.col("last.hash").alias("last_hash"))
     return keyed, scratch.write(plan, "plan")
 
 
-def _times(part: Column | None) -> Column:
-    """How often a row joined to its source's plan is taken. A key is in the prefix if it is
-    in an earlier part of the source or in the last part up to the last key; by keys alone
-    that is (key, doc_id) <= (last_key, last_id), or for an empty prefix of the last part
-    a smaller part."""
-    upto = F.struct("key", "doc_id") <= F.struct("last_key", "last_id")
-    more = F.coalesce(F.when(F.col("last_key").isNotNull(), upto), (part < F.col("last_part")) if part is not None else F.lit(False), F.lit(False))
-    extra = F.coalesce(F.array_contains("extra", F.col("doc_id")), F.lit(False))
-    return F.col("epochs") + F.when(F.col("rest") > 0, (more | extra).cast("long")).otherwise(0)
+def _times() -> Column:
+    """How often a row joined to its source's plan is taken."""
+    more = F.struct("key", "hash") <= F.struct(F.col("last_key").alias("key"), F.col("last_hash").alias("hash"))
+    return F.col("epochs") + F.when(F.col("last_key").isNotNull() & more, 1).otherwise(0)
 
 
 def mixture_table(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row of docs (doc_id, text, source).
 
-    Null text has size 0 and takes nothing; null source is a source, the last in order;
-    null doc_id is hashed like an id. Rows with one id have one key and are in or out
-    together. Empty table: no rows. Sources of size 0: target 0. Reruns agree.
+    Null text has size 0 and takes nothing; null source is a source, the last in order; null
+    doc_id is an id of its own. Rows of one id and text share a key and are in or out
+    together; unlike texts of one id have keys of their own. Equal keys are ordered by the
+    rows' hash. Empty table: no rows. Sources of size 0: target 0. Reruns agree. Texts are
+    read whole, whatever their length. Other columns are not read.
     """
     scratch = Scratch(spark, "mixing")
     keyed, plan = plan_mixture(spark, docs, scratch, **options)
     at = keyed.join(small(plan.withColumnRenamed("source", "s")), keyed["source"].eqNullSafe(F.col("s")))
-    return at.select("doc_id", "size", "source_size", "target", (F.col("size") * _times(F.col("part"))).alias("taken"))
+    return at.select("doc_id", "size", "source_size", "target", (F.col("size") * _times()).alias("taken"))
 
 
-def mix(spark: SparkSession, docs: DataFrame, seed: int = 17, **options) -> DataFrame:
-    """The rows of docs as the mix takes them, repeated for every epoch; columns unchanged.
-    Each row's key is computed again from its text and id, so texts are never shuffled
-    but for a plan too large to broadcast."""
+def mix(spark: SparkSession, docs: DataFrame, seed: int = 17, weight: Callable[[Column], Column] = text_quality, **options) -> DataFrame:
+    """The rows of docs as the mix takes them, repeated for every epoch; columns unchanged; see
+    mixture_table() for nulls, ties and repeated rows. Each row's key is computed again from
+    its text and id, so texts are never shuffled but for a plan too large to broadcast."""
     scratch = Scratch(spark, "mixing")
-    keyed, plan = plan_mixture(spark, docs, scratch, seed=seed, **options)
-    # By keys alone: an empty prefix of the last part ends before that part's first key.
-    before = keyed.join(small(plan.filter("last_key is null and last_part is not null").select(F.col("source").alias("s"), "last_part")), keyed["source"].eqNullSafe(F.col("s")) & (F.col("part") < F.col("last_part")))
-    before = before.groupBy("s").agg(F.max(F.struct("key", "doc_id")).alias("m"))
-    plan = plan.join(before, plan["source"].eqNullSafe(F.col("s")), "left").select(
-        F.col("source").alias("s_"), "epochs", "rest", F.coalesce("last_key", "m.key").alias("last_key"), F.coalesce("last_id", "m.doc_id").alias("last_id"), "extra"
-    )
-    plan = scratch.write(plan, "by_key")
-    names = docs.columns
-    inner = docs.select(
-        F.struct(*[docs[c] for c in names]).alias("row"), F.col("source"), F.col("doc_id").cast("long").alias("doc_id"),
-        sampling_key(F.col("doc_id").cast("long"), text_quality(F.col("text")), seed).alias("key"),
-    )
-    taken = inner.join(small(plan), F.col("source").eqNullSafe(F.col("s_"))).withColumn("times", _times(None).cast("int"))
+    _, plan = plan_mixture(spark, docs, scratch, seed=seed, weight=weight, **options)
+    inner = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *_keyed(docs, weight, seed))
+    taken = inner.join(small(plan.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))).withColumn("times", _times().cast("int"))
     return taken.filter("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
