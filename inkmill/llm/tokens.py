@@ -83,29 +83,47 @@ class _Cache(dict):
             self.clear()
 
 
-def encoder(tokenizer_path: str, width: int, most: int = 200_000):
+@dataclass(frozen=True)
+class Rules:
+    """What encode() must know of a tokenizer's rules: whether they drop white space and never
+    join across it, as those of the word-end vocabulary, and how its special tokens begin."""
+
+    words_apart: bool
+    special: tuple[str, ...]
+    size: int
+
+
+def read_rules(tokenizer_path: str) -> Rules:
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path)
+    rules = json.loads(tokenizer.to_str())
+    steps = [[x["type"] for x in rules[k]["normalizers" if k == "normalizer" else "pretokenizers"]] if (rules[k] or {}).get("type") == "Sequence" else None for k in ("normalizer", "pre_tokenizer")]
+    apart = steps == [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]] and rules["pre_tokenizer"]["pretokenizers"][0]["pattern"] == {"Regex": PIECES}
+    special = tuple(sorted({t["content"][:2] for t in rules["added_tokens"]}))
+    return Rules(apart, special, tokenizer.get_vocab_size(with_added_tokens=True))
+
+
+def encoder(tokenizer_path: str, width: int, most: int = 60_000, rules: Rules | None = None):
     """text -> its ids as bytes.
 
-    A tokenizer whose rules drop white space and never join across it, as those of the
-    word-end vocabulary, sees each distinct piece of Latin text once; a text is the
-    concatenation of its pieces' ids. Texts with other letters or special tokens are cut at
-    white space only, and each distinct run goes through the whole tokenizer. Any other
-    tokenizer gets whole texts. Caches are bounded, so memory does not grow with the text.
+    A tokenizer whose rules drop white space and never join across it sees each distinct piece
+    of Latin text once; a text is the concatenation of its pieces' ids. Texts with other
+    letters or special tokens are cut at white space only, and each distinct run goes through
+    the whole tokenizer. Any other tokenizer gets whole texts. Caches are bounded and live as
+    long as the encoder, which is a task's, so memory grows neither with texts nor with tasks.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
+    rules = rules or read_rules(tokenizer_path)
     tokenizer = Tokenizer.from_file(tokenizer_path)
     kind = np.dtype(f"<u{width}")
-    rules = json.loads(tokenizer.to_str())
-    steps = [[x["type"] for x in rules[k]["normalizers" if k == "normalizer" else "pretokenizers"]] if (rules[k] or {}).get("type") == "Sequence" else None for k in ("normalizer", "pre_tokenizer")]
-    words_apart = steps == [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]] and rules["pre_tokenizer"]["pretokenizers"][0]["pattern"] == {"Regex": PIECES}
     whole = lambda text: np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, kind).tobytes()
-    if not words_apart:
+    if not rules.words_apart:
         return whole
-    model, letters = tokenizer.model, _byte_letters()
-    special = sorted({t["content"][:2] for t in rules["added_tokens"]})
-    packed = [i.to_bytes(width, "little") for i in range(tokenizer.get_vocab_size(with_added_tokens=True))]
+    model, letters, special = tokenizer.model, _byte_letters(), rules.special
+    packed = [i.to_bytes(width, "little") for i in range(rules.size)]
 
     def piece(text: str) -> bytes:
         if not text.isascii():
@@ -127,17 +145,6 @@ def encoder(tokenizer_path: str, width: int, most: int = 200_000):
     return encode
 
 
-def _worker_encoder(tokenizer_path: str, width: int):
-    """The encoder of this Python worker: its caches outlive a task, kept on a module that
-    every worker has."""
-    import tokenizers
-
-    kept = tokenizers.__dict__.setdefault("_inkmill_encoders", {})
-    if (tokenizer_path, width) not in kept:
-        kept[tokenizer_path, width] = encoder(tokenizer_path, width)
-    return kept[tokenizer_path, width]
-
-
 def _store(uri: str):
     return pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + os.path.abspath(uri))
 
@@ -152,21 +159,19 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
 
     Null text: empty, so the document is its end id alone. Null doc_id: first of all.
     Repeated rows and repeated ids: each row is a document; ties are ordered by text.
-    Empty table: no parts. Other columns are not read. A task that runs again writes the
+    Empty table: no parts. Texts of any length are encoded whole. Other columns are not read. A task that runs again writes the
     same bytes under the same names; files are renamed into place, so a lost executor
     leaves no torn part. Memory: one batch of texts and 17 bytes per document of a part.
     """
-    from tokenizers import Tokenizer
-
-    top = Tokenizer.from_file(tokenizer_path).get_vocab_size(with_added_tokens=True)
-    width = 2 if max(top, end_id + 1) <= 1 << 16 else 4
+    rules = read_rules(tokenizer_path)
+    width = 2 if max(rules.size, end_id + 1) <= 1 << 16 else 4
 
     def encode_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task = TaskContext.get()
         part, attempt = task.partitionId(), task.taskAttemptId()
-        encode = _worker_encoder(tokenizer_path, width)
+        encode = None
         end = np.asarray([end_id], np.dtype(f"<u{width}")).tobytes()
         store, at = _store(folder)
         ids: list[int] = []
@@ -178,6 +183,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
                 store.create_dir(at, recursive=True)
                 temporary = f"{at}/.{part:06d}-{attempt}"
                 out = store.open_output_stream(temporary + ".bin")
+            if batch.num_rows and encode is None:
+                encode = encoder(tokenizer_path, width, rules=rules)
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 data = encode(text.as_py())
                 out.write(data)
@@ -270,6 +277,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def token_file_digests(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFrame:
-    """write_token_files() into the shared folder, then read_token_files() from there."""
+    """write_token_files() into the shared folder, then read_token_files() from there: see these
+    for nulls, ties, repeated rows and empty tables."""
     files = write_token_files(docs, Scratch(spark, "tokens").root, tokenizer_path, end_id)
     return read_token_files(spark, files)

@@ -57,6 +57,20 @@ def test_token_files_wide_ids(spark, tmp_path):
     assert (ids == 70_000).sum() == 4
 
 
+def test_encoder_of_all_texts():
+    """Every text of sf0.1, and long ones of mixed scripts, as the library encodes them whole."""
+    import duckdb
+    from tokenizers import Tokenizer
+
+    t, e, r = Tokenizer.from_file(q.tokenizer_path()), encoder(q.tokenizer_path(), 2, most=5000), random.Random(6)
+    texts = [x or "" for (x,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.1/documents.parquet'").fetchall()]
+    parts = [r.choice(texts)[:400] for _ in range(40)] + ["Ωμέγα σς ΣΑΣ", "данные И текст", "漢字かな交じり文", "مرحبا بالعالم", "हिन्दी पाठ", "ก็ดี", "e\u0301a\u0308 ﬁ ǅ", "👩‍👩‍👧 🇩🇪", "<|endoftext|>", "\u200b\u00a0\u3000 \x85", "İstanbul ẞ"]
+    texts += [r.choice([" ", "\n", ""]).join(r.choice(parts) for _ in range(r.randint(1, 120))) for _ in range(120)]
+    for at in range(0, len(texts), 500):
+        for x, want in zip(texts[at : at + 500], t.encode_batch(texts[at : at + 500], add_special_tokens=False)):
+            assert np.frombuffer(e(x), "<u2").tolist() == want.ids
+
+
 def test_encoder_of_odd_texts():
     from tokenizers import Tokenizer
 
