@@ -97,6 +97,40 @@ def test_pages_language(spark, pages):
     assert sum(r.lang == r.declared for r in got) >= 0.9 * len(got)
 
 
+def test_language_where_declarations_are_hidden_or_false(spark):
+    """Rows whose declaration says nothing or a wrong language are held out: their texts were not fitted on as what they are."""
+    from inkmill.llm.language import document_rows
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    names = ["de", "en", "es", "fr"]
+    data = [(*r[:5], None if r.doc_id % 5 == 0 else names[(names.index(r.lang) + 1) % 4] if r.doc_id % 7 == 0 else r.lang) for r in docs.select("doc_id", "text", "source", "n_chars", "lang").collect()]
+    rows = spark.createDataFrame(data, "doc_id long, text string, source string, n_chars long, true string, lang string")
+    truth = {r[0]: (r[4], r[5]) for r in data}
+    got = {r.id: r.lang for r in identify(spark, document_rows(rows)).collect()}
+    hidden = [got[d] == t for d, (t, told) in truth.items() if told is None]
+    false = [got[d] == t for d, (t, told) in truth.items() if told not in (None, t)]
+    assert len(hidden) == 200 and sum(hidden) >= 0.97 * len(hidden) and sum(false) >= 0.95 * len(false)
+
+
+def test_every_declared_language_is_modelled(spark):
+    import random
+
+    r = random.Random(3)
+    letters = {f"l{k:02d}": [chr(0x4E00 + 40 * k + j) for j in range(30)] for k in range(40)}
+    rows = [(100 * k + i, " ".join("".join(r.choice(a) for _ in range(4)) for _ in range(30)), name if i else None, None, "h", None) for k, (name, a) in enumerate(letters.items()) for i in range(5)]
+    got = identify(spark, spark.createDataFrame(rows, "id long, text string, declared string, address string, host string, domain string")).collect()
+    assert {x.id: x.lang for x in got} == {100 * k + i: name for k, name in enumerate(letters) for i in range(5)} and all(x.accepted for x in got)
+
+
+def test_rows_are_dropped_by_themselves(spark):
+    from inkmill.llm.language import drop_unidentified
+
+    text = "the house and the garden of this old town with that river"
+    data = [(i, f"{text} {i}", "en", "s", 0) for i in range(20)] + [(1, "", None, None, 1), (None, None, None, "s", 2), (None, text, "en", "s", 3), (5, f"{text} 5", "en", "s", 4)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, _d int")
+    assert sorted(map(tuple, drop_unidentified(spark, docs).collect()), key=repr) == sorted([x for x in data if x[1]], key=repr)
+
+
 def test_language_of_odd_rows(spark):
     words = {"en": "the house and the garden of this old town with that river", "de": "das haus und der garten von dieser alten stadt mit jenem fluss"}
     rows = [(i, words[k] + f" {i}", k, None, "h", None) for i in range(30) for k in words]
