@@ -3,6 +3,13 @@ confidence); \\1 and \\2 in a replacement are groups of the match."""
 
 # --- fixed values: lexicons -------------------------------------------------------------
 STARTER_WORDS = "the of and to a in is that for it as with was he on".split()
+#: What the word corrector takes for right, with the game terms.
+COMMON_WORDS = (
+    "the be to of and a in that have it for not on with he as you do at this but his by from they we say her she or an will "
+    "my one all would there their what so up out if about who get which go me when make can like time no just him know take "
+    "people into year your good some could them see other than then now look only come its over think also back after use "
+    "two how our work first well way even new want because any these give day most us"
+).split()
 GAME_TERMS = (
     "dungeons dragons d&d dnd dm pc npc gm hitpoints hp ac xp proficiency initiative multiclass subclass feat feats "
     "cantrip cantrips spellcasting str dex con int wis cha strength dexterity constitution intelligence wisdom charisma "

@@ -76,7 +76,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         made = render.markdown(found.select("path", "metadata", *lists.values(), "extraction_date"), "path", not args.no_toc, None, args.clean_text)
         return sinks.write_files(named(made, "markdown", args.input, ".md"), args.output).count()
     texts = files.read_texts(spark, args.input, "*.md")
-    errors = lint.with_context(lint.lint_markdown(texts, "path", args.confidence, args.ignore_code), texts, "path")
+    errors = lint.with_context(lint.lint_markdown(texts, "path", ignore_code=args.ignore_code, word_confidence=args.confidence), texts, "path")
     reports = texts.select("path").join(lint.report(errors, "path"), "path", "left").select("path", F.coalesce("report", F.lit("No errors found!")).alias("report"))
     n = sinks.write_files(named(reports, "report", args.input, ".report.txt"), args.output).count()
     if args.fix:

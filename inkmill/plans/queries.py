@@ -51,6 +51,29 @@ TOKENS = r"""SELECT doc_id, pos, token FROM (
   WHERE length(token) >= 3"""
 
 
+CORRECTOR = "(VALUES " + ", ".join(f"({_lit(w)})" for w in sorted({*rules.COMMON_WORDS, *rules.GAME_TERMS})) + ") lex(word)"
+_FIX = "CASE " + " ".join(f"WHEN regexp_matches(regexp_replace(token, '[^\\x00-\\x7F]', '_', 'g'), {_lit('^(?:' + p + ')')}) THEN {_lit(by)}" for p, by in rules.OCR_REPAIRS) + " END"
+#: The longest common part of x and y, of equal ones the first in x, then in y; k is its length.
+_BEST = """list_reverse_sort(flatten(list_transform(generate_series(1, length(x)), lambda i: list_transform(generate_series(1, length(y)), lambda j:
+  {'k': len(list_filter(generate_series(1, least(length(x) - i + 1, length(y) - j + 1)), lambda n: substring(x, i, n) = substring(y, j, n))), 'i': -i, 'j': -j}))))[1]"""
+
+
+def _corrections_sql(tokens: str) -> str:
+    """CTEs from a table of distinct tokens to corrections (token, corrected, confidence): the
+    ratio is twice the length of what two words have in common, by longest parts first."""
+    return f"""open AS (SELECT token, lower(token) AS a, {_FIX} AS fix FROM {tokens} WHERE length(token) >= 3 AND lower(token) NOT IN (SELECT word FROM {CORRECTOR})),
+seg AS (SELECT token, word, a AS x, word AS y FROM open JOIN {CORRECTOR} ON left(a, 2) = left(word, 2) AND abs(length(word) - length(token)) <= 2
+    WHERE fix IS NULL AND length(token) <= 20 AND levenshtein(a, word) <= 0.2 * (length(token) + length(word)) + strlen(a) - length(a)
+  UNION ALL SELECT token, word, part.x, part.y FROM (
+    SELECT token, word, unnest([{{'x': substring(x, 1, -b.i - 1), 'y': substring(y, 1, -b.j - 1)}}, {{'x': substring(x, b.k - b.i), 'y': substring(y, b.k - b.j)}}]) AS part
+    FROM (SELECT token, word, x, y, {_BEST} AS b FROM seg) WHERE b.k > 0) WHERE part.x <> '' AND part.y <> ''),
+ratio AS (SELECT token, word, 2.0 * sum(b.k) / (length(token) + length(word)) AS r FROM (SELECT token, word, {_BEST} AS b FROM seg) GROUP BY token, word),
+near AS (SELECT token, word, r, row_number() OVER (PARTITION BY token ORDER BY r DESC, word) AS n FROM ratio WHERE r > 0.8),
+told AS (SELECT token, coalesce(fix, CASE WHEN regexp_matches(token, '^\\p{{Lu}}') THEN upper(left(word, 1)) || substring(word, 2) ELSE word END, token) AS c, CASE WHEN fix IS NOT NULL THEN 0.95 ELSE coalesce(r, 1.0) END AS conf
+  FROM open LEFT JOIN (SELECT * FROM near WHERE n = 1) USING (token)),
+corrections AS (SELECT token, coalesce(c, token) AS corrected, coalesce(conf, 1.0)::DOUBLE AS confidence FROM {tokens} LEFT JOIN told USING (token))"""
+
+
 # --- lines and normalisers --------------------------------------------------------------
 @query(f"""SELECT doc_id, count(*) AS total_lines, avg(length(text)) AS avg_line_length, max(length(text)) AS max_line_length
 FROM ({CLEAN_LINES}) WHERE text <> '' GROUP BY doc_id""")
@@ -220,7 +243,14 @@ def lint_positions(spark, sf_dir):
     return lint.scan(_docs(spark, sf_dir), rules.SPACING_RULES, False, ("doc_id",)).select("doc_id", "rule_no", "match_no", "start", "line", "column", "text")
 
 
-_ERRORS = _positions_sql(lint.MARKDOWN) + """, x AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY lint, rule_no, match_no) AS ord FROM p WHERE text <> repl)"""
+_ERRORS = _positions_sql(lint.MARKDOWN).replace("WITH m", "WITH RECURSIVE m", 1) + rf""",
+tok AS (SELECT DISTINCT token FROM (SELECT unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+')) AS token FROM documents) WHERE length(token) >= 3), {_corrections_sql("tok")},
+w AS (SELECT doc_id, text, unnest(string_split_regex(t, '\w+')[1:len(regexp_extract_all(t, '\w+'))]) AS gap, unnest(regexp_extract_all(t, '\w+')) AS hit, unnest(generate_series(1, len(regexp_extract_all(t, '\w+')))) AS k FROM m),
+v AS (SELECT doc_id, text, k, length(hit) AS n, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id ORDER BY k) - length(hit) AS start FROM w),
+word AS (SELECT v.*, token, corrected FROM v JOIN corrections ON substring(text, start::BIGINT + 1, n) = token WHERE corrected <> token AND confidence >= 0.85),
+q AS (SELECT doc_id, lint, error_type, rule_no, match_no, text, repl, line, "column" FROM p UNION ALL
+  SELECT doc_id, -1, 'word', -1, k, token, corrected, len(string_split(left(text, start::BIGINT), chr(10))) - 1, length(string_split(left(text, start::BIGINT), chr(10))[-1]) FROM word),
+x AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY lint, rule_no, match_no) AS ord FROM q WHERE text <> repl)"""
 
 
 @query(_ERRORS + ' SELECT doc_id, ord, error_type, line + 1 AS line_num, "column" + 1 AS "column", text FROM x WHERE ord <= 10')
@@ -269,15 +299,18 @@ def simple_suggestions(spark, sf_dir):
     return correct.suggestions(correct.tokens_of(_docs(spark, sf_dir)), correct.lexicon(spark))
 
 
-@query()
+@query(rf"""WITH RECURSIVE tok AS (SELECT DISTINCT token FROM (SELECT unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+')) AS token FROM documents) WHERE length(token) >= 3),
+{_corrections_sql("tok")} SELECT token, corrected, round(confidence, 9) AS confidence FROM corrections""")
 def word_corrections(spark, sf_dir):
-    docs = _docs(spark, sf_dir, "benchmark", "item_id", "text")
-    return correct.corrections(correct.tokens_of(docs, "item_id", tx.word_tokens), correct.lexicon(spark))
+    """Every distinct word of the documents."""
+    found = correct.corrections(correct.tokens_of(_docs(spark, sf_dir), tokens=tx.word_tokens), correct.corrector_lexicon(spark))
+    return found.withColumn("confidence", F.round("confidence", 9))
 
 
 @query()
 def corrected_text(spark, sf_dir):
-    return correct.correct_text(_docs(spark, sf_dir), correct.lexicon(spark))
+    """Hyphens, OCR repairs and words; tested against the steps in plain Python."""
+    return correct.correct_text(_docs(spark, sf_dir), correct.corrector_lexicon(spark), hyphens=[*rules.COMMON_WORDS, *rules.GAME_TERMS])
 
 
 @query()
@@ -287,7 +320,7 @@ def text_checks(spark, sf_dir):
 
 @query()
 def joined_hyphens(spark, sf_dir):
-    run = correct.join_hyphens([*rules.STARTER_WORDS, *rules.GAME_TERMS])
+    run = correct.join_hyphens([*rules.COMMON_WORDS, *rules.GAME_TERMS])
     return _docs(spark, sf_dir).select("doc_id", run("text").alias("text"))
 
 

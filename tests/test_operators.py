@@ -195,6 +195,36 @@ def test_correct_text(spark):
     assert {r.doc_id: r.text for r in got.collect()} == {0: "A dungeon, the wizard!", 1: "fine text", 2: None}
 
 
+ODD_TEXTS = [
+    "A dungoen, t he wizrad! It's a wizrad's sp ell_wizrad", "circum-\nstances and cir-\n\ncumstnces of exam-\nple", "soft\xad\nware long\xad\n sword", "left - right cre - ature", None, "",
+    "_dungoen_ DUNGOEN Dungoen dungoens", "D  & D and Dun geo ns & Dra gons m ore y ou r", "ourée Ouré 'wizrad' ``wizrad``", "dungoen " * 2000,
+]
+
+
+@pytest.mark.parametrize("aggressive", [False, True])
+@pytest.mark.parametrize("most_bytes", [16 << 20, 0])
+def test_corrected_text_against_brute_force(spark, aggressive, most_bytes):
+    from tests import brute
+
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect()] + ODD_TEXTS
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = correct.correct_text(df, correct.corrector_lexicon(spark), aggressive=aggressive, hyphens=sorted(brute.VALID), most_bytes=most_bytes)
+    assert {r.doc_id: r.text for r in got.collect()} == {i: brute.correct_text(t, aggressive=aggressive) for i, t in enumerate(texts)}
+    assert correct.correct_text(df.limit(0), correct.corrector_lexicon(spark)).count() == 0
+
+
+def test_word_errors_in_parts_agree(spark):
+    from inkmill.operators import lint
+    from inkmill.operators.segment import md_sections, raw_lines
+
+    texts = ["a dungoen\n```\ndungoen\n```\nthe dungoen and Skils", "fine", None, "dungoen wizrad\n dungoens " * 30]
+    sections = md_sections(raw_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), "doc_id", True)
+    whole, parts = (sorted(map(tuple, lint.word_errors(sections, correct.corrector_lexicon(spark), most_bytes=b).collect())) for b in (16 << 20, 300))
+    assert whole == parts and [x[4:9] for x in whole if x[0] == 0] == [(0, 2, 0, 2, "dungoen"), (0, 4, 0, 4, "dungoen"), (1, 16, 0, 16, "Skils")]
+    first = [r for r in lint.lint_markdown(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect() if r.doc_id == 0]
+    assert [(r.error_type, r.line_num, r.column, r.text) for r in sorted(first, key=lambda r: (r.sec_no, r.ord)) if r.error_type == "word"] == [("word", 1, 3, "dungoen"), ("word", 5, 5, "dungoen"), ("word", 5, 17, "Skils")]
+
+
 def test_hyphens(spark):
     run = correct.join_hyphens(["example", "dungeon"])
     assert column(docs(spark, "exam-\nple", "exam\xad\n ple", "left - right", "dun-\ngoen", None).select(run("text").alias("t")), "t") == ["example", "example", "leftright", "dun goen", None]
