@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inkmill.functions import text as tx
 
@@ -27,9 +28,26 @@ def section_lines(s: Column, clean) -> Column:
     return F.concat(head, F.when(F.coalesce(body, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array(body, F.lit(""))))
 
 
+def contents_entry(e: Column, kind: T.StructType) -> Column:
+    """The lines of an entry of a contents list: number, title and sections (titles or structs
+    that have one); with type and letter an appendix."""
+    title = tx.normalize_title(e["title"])
+    head = F.concat(F.coalesce(e["number"].cast("string"), F.lit("")), F.lit(". "), title)
+    if "letter" in kind.names:
+        appendix = (e["type"] == "appendix") & (F.coalesce(e["letter"], F.lit("")) != "")
+        head = F.when(appendix, appendix_title(e["letter"], e["title"])).otherwise(head)
+    sections = e["sections"]
+    if isinstance(kind["sections"].dataType.elementType, T.StructType):
+        sections = F.transform(sections, lambda s: s["title"])
+    named = F.filter(F.coalesce(sections, F.array().cast("array<string>")), lambda s: ~F.coalesce(s, F.lit("")).isin("", "Main Content"))
+    return F.concat(F.array(_link(head)), F.transform(named, lambda s: _link(s, "  ")))
+
+
 def markdown(docs: DataFrame, key: str = "doc_id", toc: bool = True, extracted_on: Column | None = None, cleaning: str = "none") -> DataFrame:
-    """key, markdown of docs (key, metadata, chapters, appendices): title, date, contents,
-    chapters and appendices. `cleaning` is a level of clean_paragraph() for section texts."""
+    """key, markdown of docs (key, metadata, chapters, appendices, and table_of_contents if there
+    is one): title, date, contents, chapters and appendices. Contents follow a document's own
+    list, in its order, or where that is null or empty its chapters and appendices. `cleaning`
+    is a level of clean_paragraph() for section texts."""
     clean = (lambda x: tx.clean_paragraph(x, cleaning)) if cleaning != "none" else (lambda x: x)
     heads = lambda ss: F.transform(F.filter(ss, lambda s: s["title"] != "Main Content"), lambda s: _link(tx.normalize_title(s["title"]), "  "))
     parts = [F.array(F.concat(F.lit("# "), tx.normalize_title(F.col("metadata.title"))), F.lit(""))]
@@ -38,7 +56,12 @@ def markdown(docs: DataFrame, key: str = "doc_id", toc: bool = True, extracted_o
     if toc:
         listed = F.flatten(F.transform("chapters", lambda c: F.concat(F.array(_link(chapter_title(c["number"], c["title"]))), heads(c["sections"]))))
         more = F.transform("appendices", lambda a: _link(appendix_title(a["letter"], a["title"])))
-        parts += [F.array(F.lit("## Table of Contents"), F.lit("")), listed, more, F.array(F.lit(""))]
+        entries = F.concat(listed, more)
+        if "table_of_contents" in docs.columns:
+            kind = docs.schema["table_of_contents"].dataType.elementType
+            own = F.flatten(F.transform("table_of_contents", lambda e: contents_entry(e, kind)))
+            entries = F.when(F.coalesce(F.size("table_of_contents"), F.lit(0)) > 0, own).otherwise(entries)
+        parts += [F.array(F.lit("## Table of Contents"), F.lit("")), entries, F.array(F.lit(""))]
     body = F.transform("chapters", lambda c: F.concat(F.array(F.concat(F.lit("## "), chapter_title(c["number"], c["title"])), F.lit("")), F.flatten(F.transform(c["sections"], lambda s: section_lines(s, clean)))))
     tail = F.transform("appendices", lambda a: F.concat(
         F.array(F.concat(F.lit("## "), appendix_title(a["letter"], a["title"])), F.lit("")),

@@ -286,7 +286,9 @@ def test_structure(spark):
     assert [(a.letter, a.title, [s.title for s in a.sections]) for a in book.appendices] == [("A", "Conditions", ["Blinded"])]
     assert got[1].chapters == [] and got[1].appendices == [] and got[1].table_of_contents == []
     out = render.markdown(structure.structured(docs(spark, TEXT), title="My book", clean=False), extracted_on=F.lit("now")).first().markdown
-    assert out.startswith("# My Book\n\n*Extracted on: now*\n\n## Table of Contents\n\n- [1. Races](#1-races)\n  - [Hill Dwarf](#hill-dwarf)\n- [2. Classes](#2-classes)\n- [Appendix A: Conditions](#appendix-a-conditions)\n")
+    assert out.startswith("# My Book\n\n*Extracted on: now*\n\n## Table of Contents\n\n- [1. Races](#1-races)\n  - [Dwarf](#dwarf)\n- [Appendix A: Rest](#appendix-a-rest)\n")
+    bare = render.markdown(structure.structured(docs(spark, TEXT.replace("Contents\nChapter 1: Races 3\nDwarf.4\nAppendix A: Rest 9\n\n", "")), title="My book", clean=False)).first().markdown
+    assert "\n- [1. Races](#1-races)\n  - [Hill Dwarf](#hill-dwarf)\n- [2. Classes](#2-classes)\n- [Appendix A: Conditions](#appendix-a-conditions)\n" in bare
     assert "## 1. Races\n\n### Hill Dwarf\n\nA dwarf of hills.\n" in out and "## 2. Classes\n\nsome text here.\n" in out and out.count("### Main Content") == 0
 
 
