@@ -176,7 +176,8 @@ def chunks(x, most: int = 100_000) -> Column:
         cut = F.struct(F.array_append(s["done"], F.substring(head, F.lit(1), at)).alias("done"), F.substring(s["rest"], at + 1, F.length(s["rest"])).alias("rest"))
         return F.when(F.length(s["rest"]) > most, cut).otherwise(s)
 
-    n = F.greatest(F.lit(1), F.ceil(F.length(y) / F.lit(max(1, most // 2))).cast("int"))
+    # Every cut takes a blank line, a sentence's end or `most` characters with it.
+    n = F.when(F.length(y) > most, F.ceil(F.length(y) / most).cast("int") + F.regexp_count(y, F.lit(r"\n\n|\. ")) + 1).otherwise(1)
     return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda s: F.when(s["rest"] != "", F.array_append(s["done"], s["rest"])).otherwise(s["done"]))
 
 

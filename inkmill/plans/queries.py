@@ -44,6 +44,15 @@ MASK = r"regexp_replace(text, '[^\x00-\x7F]', '_', 'g')"
 TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS line_no FROM documents"
 CLEAN_LINES = f"SELECT doc_id, line_no, regexp_replace({TRIM.format('raw')}, '\\s+', ' ', 'g') AS text FROM ({LINES})"
+#: Cleaned lines, those over 2000 characters as their sentences packed greedily; for WITH RECURSIVE.
+SPLIT_LINES = rf"""cleaned AS (SELECT doc_id, line_no, text FROM ({CLEAN_LINES}) WHERE text <> ''),
+sentences AS (SELECT doc_id, line_no, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS s FROM cleaned WHERE length(text) > 2000),
+packed AS (SELECT doc_id, line_no, s, 1 AS i, 1 AS part, length(s[1]) + (length(s[1]) + 1 <= 2000)::INT AS n FROM sentences
+  UNION ALL SELECT doc_id, line_no, s, i + 1, CASE WHEN fits THEN part ELSE part + 1 END, CASE WHEN fits THEN n + more + 1 ELSE more END
+  FROM (SELECT *, length(s[i + 1]) AS more, n + length(s[i + 1]) + 1 <= 2000 AS fits FROM packed WHERE i < len(s))),
+split_lines AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, part) - 1 AS line_no, text FROM (
+  SELECT doc_id, line_no, 0 AS part, text FROM cleaned WHERE length(text) <= 2000
+  UNION ALL SELECT doc_id, line_no, part, string_agg(s[i], ' ' ORDER BY i) FROM packed GROUP BY doc_id, line_no, part))"""
 LEXICON = "(VALUES " + ", ".join(f"({_lit(w)})" for w in sorted({*rules.STARTER_WORDS, *rules.GAME_TERMS})) + ") lex(word)"
 TOKENS = r"""SELECT doc_id, pos, token FROM (
   SELECT doc_id, unnest(tokens) AS token, unnest(generate_series(0, len(tokens) - 1)) AS pos FROM (
@@ -69,9 +78,9 @@ seg AS (SELECT token, word, a AS x, word AS y FROM open JOIN {CORRECTOR} ON left
     FROM (SELECT token, word, x, y, {_BEST} AS b FROM seg) WHERE b.k > 0) WHERE part.x <> '' AND part.y <> ''),
 ratio AS (SELECT token, word, 2.0 * sum(b.k) / (length(token) + length(word)) AS r FROM (SELECT token, word, {_BEST} AS b FROM seg) GROUP BY token, word),
 near AS (SELECT token, word, r, row_number() OVER (PARTITION BY token ORDER BY r DESC, word) AS n FROM ratio WHERE r > 0.8),
-told AS (SELECT token, coalesce(fix, CASE WHEN regexp_matches(token, '^\\p{{Lu}}') THEN upper(left(word, 1)) || substring(word, 2) ELSE word END, token) AS c, CASE WHEN fix IS NOT NULL THEN 0.95 ELSE coalesce(r, 1.0) END AS conf
+best AS (SELECT token, coalesce(fix, CASE WHEN regexp_matches(token, '^\\p{{Lu}}') THEN upper(left(word, 1)) || substring(word, 2) ELSE word END, token) AS c, CASE WHEN fix IS NOT NULL THEN 0.95 ELSE coalesce(r, 1.0) END AS conf
   FROM open LEFT JOIN (SELECT * FROM near WHERE n = 1) USING (token)),
-corrections AS (SELECT token, coalesce(c, token) AS corrected, coalesce(conf, 1.0)::DOUBLE AS confidence FROM {tokens} LEFT JOIN told USING (token))"""
+corrections AS (SELECT token, coalesce(c, token) AS corrected, coalesce(conf, 1.0)::DOUBLE AS confidence FROM {tokens} LEFT JOIN best USING (token))"""
 
 
 # --- lines and normalisers --------------------------------------------------------------
@@ -87,7 +96,8 @@ def cleaned_lines(spark, sf_dir):
     return segment.split_lines(_docs(spark, sf_dir), split_long=False).select("doc_id", "line_no", F.length("text").alias("n_chars"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {SPLIT_LINES} SELECT doc_id, count(line_no) AS total_lines, coalesce(avg(length(l.text)), 0) AS avg_line_length, coalesce(max(length(l.text)), 0) AS max_line_length
+FROM documents LEFT JOIN split_lines l USING (doc_id) GROUP BY doc_id""")
 def line_stats(spark, sf_dir):
     return segment.document_line_stats(_docs(spark, sf_dir))
 
@@ -148,7 +158,18 @@ def anchors(spark, sf_dir):
     return _docs(spark, sf_dir, "pages", "page_id", "html").select("page_id", F.lower(F.replace(t, F.lit(" "), F.lit("-"))).alias("dashed"), tx.anchor(t).alias("anchor"))
 
 
-@query()
+_SINGLE = r"regexp_matches({}, '^\p{{L}}$')"
+_SPACED = TRIM.format(r"regexp_replace(regexp_replace(z, '([a-z])([A-Z])', '\1 \2', 'g'), '[\s\-]+', ' ', 'g')")
+
+
+@query(rf"""WITH t AS (SELECT page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t, regexp_extract(url, '([^/]*)/?$', 1) AS name FROM pages),
+d AS (SELECT *, regexp_replace(regexp_replace(t, '\.{{2,}}.*?\d+$', ''), '\.{{3,}}', '', 'g') AS y FROM t),
+c AS (SELECT *, list_filter(string_split_regex(y, '\s+'), lambda x: x <> '') AS w FROM d),
+j AS (SELECT *, CASE WHEN contains(y, ' ') THEN array_to_string(list_transform(w, lambda x, i: CASE WHEN i = 1 OR {_SINGLE.format("x")} AND {_SINGLE.format("w[i - 1]")} THEN '' ELSE ' ' END || x), '') ELSE y END AS z FROM c),
+k AS (SELECT *, replace({_SPACED}, 'D & D', 'D&D') AS v FROM j)
+SELECT page_id, CASE WHEN t = '' THEN 'Untitled Section' ELSE array_to_string(list_transform(string_split(v, ' '), lambda x: upper(left(x, 1)) || lower(substring(x, 2))), ' ') END AS title,
+  array_to_string(list_transform(regexp_extract_all(translate(regexp_replace(name, '(.)\.[^./\\]*$', '\1'), '_-', '  '), '\p{{L}}+|\P{{L}}+'), lambda r: upper(left(r, 1)) || lower(substring(r, 2))), '') AS name,
+  TRY_CAST(regexp_extract(url, '\s*(\d+)\s*$', 1) AS INT) AS page FROM k""")
 def titles(spark, sf_dir):
     t = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
     name = F.regexp_extract("url", r"([^/]*)/?$", 1)
@@ -185,7 +206,14 @@ def quality_issues(spark, sf_dir):
     return found.select("doc_id", says("Text contains too few").alias("few_words"), says("Average word length too short").alias("short_words"), says("Average word length too long").alias("long_words"), says("Non-ASCII").alias("non_ascii"))
 
 
-@query()
+@query(f"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+h AS (SELECT doc_id, l, list_filter(l, lambda x, i: i % 2 = 1 AND i < len(l)) AS heads, list_filter(l, lambda x, i: i % 2 = 0) AS feet FROM l),
+i AS (SELECT m.*, list_filter(flatten([[CASE WHEN word_count < 50 THEN 'Text contains too few words (' || word_count || ' < 50)' END,
+    CASE WHEN avg_word_length < 2 THEN 'Average word length too short (' || printf('%.1f', avg_word_length) || ' < 2)' WHEN avg_word_length > 15 THEN 'Average word length too long (' || printf('%.1f', avg_word_length) || ' > 15)' END],
+    list_transform(l, lambda x, i: CASE WHEN length(x) > 2000 THEN 'Line ' || i || ' exceeds maximum length (' || length(x) || ' > 2000)' END),
+    [CASE WHEN len(l) >= 4 AND (len(list_distinct(heads)) = 1 AND len(heads) > 2 OR len(list_distinct(feet)) = 1 AND len(feet) > 2) THEN 'Detected possible header/footer repetition' END,
+    CASE WHEN non_ascii THEN 'Non-ASCII characters detected' END]]), lambda x: x IS NOT NULL) AS issues FROM ({METRICS}) m JOIN h USING (doc_id))
+SELECT doc_id, len(issues) = 0 AS is_valid, issues, word_count, avg_word_length, unique_chars FROM i""")
 def quality_reports(spark, sf_dir):
     return quality.issues(_docs(spark, sf_dir), per_line=True)
 
@@ -209,14 +237,32 @@ def lint_spacing_counts(spark, sf_dir):
     return lint.rule_counts(_docs(spark, sf_dir), rules.SPACING_RULES, False)
 
 
-@query(_counts_sql(rules.PHRASE_RULES, True))
+#: What no text of the tables has: one of them goes in front of every text.
+_PHRASES = (
+    "Character  sheet", "PLAYERS handbook", "dungeon master guide", "role play", "skill check and skill\ncheck", "saving throws", "hit point",
+    "what ever", "which ever", "how ever", "When ever", "where ever", "who ever",
+)
+_JOINED = ("weuse", "Youcan and youhave", "youare", "youmay youmust", "youmight", "youshould", "youdo", "youget", "it'sa", "that'sgood", "it'sfine", "there'smore", "cat'spaw")
+
+
+def _put_in(spark, sf_dir, parts):
+    first = F.element_at(F.array(*[F.lit(p) for p in (*parts, "")]), (F.col("doc_id") % (len(parts) + 1) + 1).cast("int"))
+    return _docs(spark, sf_dir).withColumn("text", F.concat(first, F.lit(" "), "text"))
+
+
+def _put_in_sql(parts, table):
+    listed = "[" + ", ".join(_lit(p) for p in (*parts, "")) + "]"
+    return _counts_sql(table, True).replace("FROM documents", f"FROM (SELECT doc_id, {listed}[doc_id % {len(parts) + 1} + 1] || ' ' || text AS text FROM documents)", 1)
+
+
+@query(_put_in_sql(_PHRASES, rules.PHRASE_RULES))
 def lint_phrase_counts(spark, sf_dir):
-    return lint.rule_counts(_docs(spark, sf_dir), rules.PHRASE_RULES, True)
+    return lint.rule_counts(_put_in(spark, sf_dir, _PHRASES), rules.PHRASE_RULES, True)
 
 
-@query(_counts_sql(rules.WORD_JOIN_RULES, True))
+@query(_put_in_sql(_JOINED, rules.WORD_JOIN_RULES))
 def lint_joined_counts(spark, sf_dir):
-    return lint.rule_counts(_docs(spark, sf_dir), rules.WORD_JOIN_RULES, True)
+    return lint.rule_counts(_put_in(spark, sf_dir, _JOINED), rules.WORD_JOIN_RULES, True)
 
 
 @query(_counts_sql(rules.SPLIT_WORD_RULES, True))
@@ -225,20 +271,28 @@ def lint_split_counts(spark, sf_dir):
 
 
 def _positions_sql(lints):
-    each = []
+    each, groups = [], []
     for i, (kind, table, ignore_case) in enumerate(lints):
         flag = "(?i)" if ignore_case else ""
         for k, (p, by, conf) in enumerate(table):
             q = _lit(flag + p)
-            each.append(f"SELECT doc_id, text, {i} AS lint, {_lit(kind)} AS error_type, {k} AS rule_no, {_lit(by)} AS repl, string_split_regex(t, {q}) AS gaps, regexp_extract_all(t, {q}) AS hits FROM m WHERE regexp_matches(t, {q})")
+            if "\\1" in by:
+                own = _lit("^" + flag + p.replace(r"\b", "").replace(r"\w", r"[\p{L}\p{N}_]") + "$")
+                groups.append(f"WHEN lint = {i} AND rule_no = {k} THEN regexp_replace(hit, {own}, {_lit(by)})")
+            each.append(f"SELECT doc_id, text, {conf} AS confidence, {i} AS lint, {_lit(kind)} AS error_type, {k} AS rule_no, {_lit(by)} AS repl, string_split_regex(t, {q}) AS gaps, regexp_extract_all(t, {q}) AS hits FROM m WHERE regexp_matches(t, {q})")
     return f"""WITH m AS (SELECT doc_id, text, {MASK} AS t FROM documents), e AS ({" UNION ALL ".join(each)}),
-r AS (SELECT doc_id, text, lint, error_type, rule_no, repl, unnest(gaps[1:len(hits)]) AS gap, unnest(hits) AS hit, unnest(generate_series(0, len(hits) - 1)) AS match_no FROM e),
+r AS (SELECT doc_id, text, confidence, lint, error_type, rule_no, repl, unnest(gaps[1:len(hits)]) AS gap, unnest(hits) AS hit, unnest(generate_series(0, len(hits) - 1)) AS match_no FROM e),
 s AS (SELECT *, coalesce(sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, lint, rule_no ORDER BY match_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(gap) AS start FROM r),
-p AS (SELECT doc_id, lint, error_type, rule_no, match_no, start::BIGINT AS start, repl, substring(text, start::BIGINT + 1, length(hit)) AS text,
-  len(string_split(left(text, start::BIGINT), chr(10))) - 1 AS line, length(string_split(left(text, start::BIGINT), chr(10))[-1]) AS "column" FROM s)"""
+o AS (SELECT doc_id, lint, error_type, rule_no, match_no, start::BIGINT AS start, confidence, repl, substring(text, start::BIGINT + 1, length(hit)) AS hit FROM s),
+p AS (SELECT doc_id, lint, error_type, rule_no, match_no, start, confidence, CASE {" ".join(groups)} ELSE repl END AS repl, hit AS text FROM o)"""
+
+
+def _placed(rows: str) -> str:
+    """rows (doc_id, start, ...) with line and column, from 0."""
+    return f"""(SELECT r.*, len(string_split(left(d.text, r.start), chr(10))) - 1 AS line, length(string_split(left(d.text, r.start), chr(10))[-1]) AS "column", d.text AS whole FROM ({rows}) r JOIN documents d USING (doc_id))"""
 
 
-@query(_positions_sql((("spacing", rules.SPACING_RULES, False),)) + ' SELECT doc_id, rule_no, match_no, start, line, "column", text FROM p')
+@query(_positions_sql((("spacing", rules.SPACING_RULES, False),)) + f' SELECT doc_id, rule_no, match_no, start, line, "column", text FROM {_placed("SELECT * FROM p")}')
 def lint_positions(spark, sf_dir):
     return lint.scan(_docs(spark, sf_dir), rules.SPACING_RULES, False, ("doc_id",)).select("doc_id", "rule_no", "match_no", "start", "line", "column", "text")
 
@@ -247,13 +301,12 @@ _ERRORS = _positions_sql(lint.MARKDOWN).replace("WITH m", "WITH RECURSIVE m", 1)
 tok AS (SELECT DISTINCT token FROM (SELECT unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+')) AS token FROM documents) WHERE length(token) >= 3), {_corrections_sql("tok")},
 w AS (SELECT doc_id, text, unnest(string_split_regex(t, '\w+')[1:len(regexp_extract_all(t, '\w+'))]) AS gap, unnest(regexp_extract_all(t, '\w+')) AS hit, unnest(generate_series(1, len(regexp_extract_all(t, '\w+')))) AS k FROM m),
 v AS (SELECT doc_id, text, k, length(hit) AS n, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id ORDER BY k) - length(hit) AS start FROM w),
-word AS (SELECT v.*, token, corrected FROM v JOIN corrections ON substring(text, start::BIGINT + 1, n) = token WHERE corrected <> token AND confidence >= 0.85),
-q AS (SELECT doc_id, lint, error_type, rule_no, match_no, text, repl, line, "column" FROM p UNION ALL
-  SELECT doc_id, -1, 'word', -1, k, token, corrected, len(string_split(left(text, start::BIGINT), chr(10))) - 1, length(string_split(left(text, start::BIGINT), chr(10))[-1]) FROM word),
+word AS (SELECT v.*, token, corrected, confidence FROM v JOIN corrections ON substring(text, start::BIGINT + 1, n) = token WHERE corrected <> token AND confidence >= 0.85),
+q AS (SELECT doc_id, lint, error_type, rule_no, match_no, text, repl, confidence, start FROM p UNION ALL SELECT doc_id, -1, 'word', -1, k, token, corrected, confidence, start::BIGINT FROM word),
 x AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY lint, rule_no, match_no) AS ord FROM q WHERE text <> repl)"""
 
 
-@query(_ERRORS + ' SELECT doc_id, ord, error_type, line + 1 AS line_num, "column" + 1 AS "column", text FROM x WHERE ord <= 10')
+@query(_ERRORS + f' SELECT doc_id, ord, error_type, line + 1 AS line_num, "column" + 1 AS "column", text FROM {_placed("SELECT * FROM x WHERE ord <= 10")}')
 def lint_top10(spark, sf_dir):
     return lint.lint_markdown(_docs(spark, sf_dir)).select("doc_id", "ord", "error_type", "line_num", "column", "text")
 
@@ -263,12 +316,25 @@ def lint_by_type(spark, sf_dir):
     return lint.errors_by_type(lint.lint_markdown(_docs(spark, sf_dir), most=None)).select("doc_id", "error_type", "n")
 
 
-@query()
+_EXCEPTED = _lit("(?i)" + "|".join(f"(?:{p})" for p in rules.SPLIT_EXCEPTIONS).replace(r"\w", r"[\p{L}\p{N}_]"))
+_ADVANCED = _positions_sql(lint.ADVANCED) + rf""",
+x AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY lint, rule_no, match_no) AS ord FROM p WHERE text <> repl AND confidence >= 0.7
+  AND NOT (lint = 0 AND regexp_matches(text, {_EXCEPTED})) AND NOT (lint = 0 AND rule_no = {len(rules.SPLIT_WORD_RULES)} AND (regexp_matches(text, '\d')
+    OR regexp_matches(text, '^[A-Z][a-z]+\s+[A-Z][a-z]+') OR regexp_matches(lower(text), ' ({"|".join(rules.NOT_SPLIT_BEFORE)})$') OR regexp_matches(text, '\s\p{{Lu}}'))))"""
+
+
+@query(_ADVANCED + f' SELECT doc_id, ord, error_type, line + 1 AS line_num, "column" + 1 AS "column", text, repl AS suggestion, confidence::DOUBLE AS confidence, start FROM {_placed("SELECT * FROM x WHERE ord <= 20")}')
 def lint_advanced(spark, sf_dir):
-    return lint.lint_text(_docs(spark, sf_dir))
+    return lint.lint_text(_docs(spark, sf_dir)).drop("sec_no")
 
 
-@query()
+@query(_ERRORS + f""", told AS (SELECT *, string_split(whole, chr(10))[line + 1] AS context FROM {_placed("SELECT * FROM x WHERE ord <= 10")}),
+kinds AS (SELECT doc_id, error_type, count(*) AS n, min(ord) AS first FROM told GROUP BY doc_id, error_type),
+heads AS (SELECT doc_id, string_agg('- ' || n || ' ' || error_type || ' issues', chr(10) ORDER BY first) AS types, sum(n)::BIGINT AS n FROM kinds GROUP BY doc_id),
+bodies AS (SELECT doc_id, string_agg(ord || '. [' || upper(error_type) || '] Line ' || (line + 1) || ', Col ' || ("column" + 1) || ': ' || chr(39) || text || chr(39) || ' → ' || chr(39) || repl || chr(39) || ' (' || printf('%.2f', confidence) || ')' ||
+    CASE WHEN context = '' THEN '' WHEN contains(context, text) THEN chr(10) || '   ' || left(context, strpos(context, text) - 1) || '>>>' || text || '<<<' || substring(context, strpos(context, text) + length(text)) || chr(10)
+    ELSE chr(10) || '   ' || context || chr(10) END, chr(10) ORDER BY ord) AS body FROM told GROUP BY doc_id)
+SELECT doc_id, 'Found ' || n || ' potential errors:' || chr(10) || chr(10) || types || chr(10) || chr(10) || body AS report FROM heads JOIN bodies USING (doc_id)""")
 def lint_reports(spark, sf_dir):
     docs = _docs(spark, sf_dir)
     return lint.report(lint.with_context(lint.lint_markdown(docs), docs))
@@ -313,9 +379,16 @@ def corrected_text(spark, sf_dir):
     return correct.correct_text(_docs(spark, sf_dir), correct.corrector_lexicon(spark), hyphens=[*rules.COMMON_WORDS, *rules.GAME_TERMS])
 
 
-@query()
+@query(f"""WITH tok AS ({TOKENS.replace("FROM documents", "FROM documents WHERE length(text) >= 10")}),
+odd AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS rn FROM tok WHERE token NOT IN (SELECT word FROM {LEXICON})),
+sug AS (SELECT token, min(word) AS suggestion FROM (SELECT DISTINCT token FROM odd WHERE rn <= 10 AND length(token) > 3) JOIN {LEXICON} ON left(token, 2) = left(word, 2) AND abs(length(word) - length(token)) <= 2 GROUP BY token),
+l AS (SELECT doc_id, list(token || '>' || suggestion ORDER BY rn) AS issues FROM odd JOIN sug USING (token) WHERE rn <= 10 GROUP BY doc_id),
+c AS (SELECT doc_id, count(*) AS total_words FROM tok GROUP BY doc_id), o AS (SELECT doc_id, count(*) AS unknown_words FROM odd GROUP BY doc_id)
+SELECT doc_id, coalesce(total_words, 0) < 3 OR l.issues IS NULL AS valid, CASE WHEN total_words >= 3 THEN coalesce(l.issues, []) ELSE [] END AS issues, CASE WHEN total_words >= 3 THEN total_words END AS total_words,
+  CASE WHEN total_words >= 3 THEN coalesce(unknown_words, 0) END AS unknown_words FROM documents LEFT JOIN c USING (doc_id) LEFT JOIN o USING (doc_id) LEFT JOIN l USING (doc_id)""")
 def text_checks(spark, sf_dir):
-    return correct.check_text(_docs(spark, sf_dir), correct.lexicon(spark))
+    found = correct.check_text(_docs(spark, sf_dir), correct.lexicon(spark))
+    return found.withColumn("issues", F.transform("issues", lambda x: F.concat(x["word"], F.lit(">"), x["suggestion"])))
 
 
 @query()
@@ -353,12 +426,26 @@ def paragraphs(spark, sf_dir):
     return segment.paragraphs(segment.raw_lines(_docs(spark, sf_dir)), clean=False)
 
 
-@query()
+_HANGS = " OR ".join(f"ends_with(rtrim(p, ' '), {_lit(w)})" for w in rules.HANGING_WORDS)
+
+
+@query(rf"""WITH RECURSIVE {SPLIT_LINES}, b AS (SELECT *, lag(text) OVER (PARTITION BY doc_id ORDER BY line_no) AS p FROM split_lines),
+c AS (SELECT *, coalesce(regexp_matches(regexp_replace(text, '[^\x00-\x7F•]', '_', 'g'), '^[a-z]|^({_JOINS})\b|^\s*[,;]\s*|^\s*[-•]\s*') OR {_HANGS}
+  OR (NOT regexp_matches(p, '[.!?:;,]\s*$') AND NOT regexp_matches(text, '^\p{{Lu}}')), false) AS goes FROM b),
+r AS (SELECT *, sum((p IS NULL OR NOT goes)::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM c),
+s AS (SELECT *, row_number() OVER w AS k, lead(text) OVER w AS after FROM r WINDOW w AS (PARTITION BY doc_id, run ORDER BY line_no))
+SELECT doc_id, run - 1 AS line_no, string_agg(CASE WHEN k = 1 OR ends_with(p, '-') OR regexp_matches(text, '^[,.;:?!]') THEN '' ELSE ' ' END ||
+  CASE WHEN after IS NOT NULL AND ends_with(text, '-') THEN left(text, length(text) - 1) ELSE text END, '' ORDER BY line_no) AS text FROM s GROUP BY doc_id, run""")
 def merged_lines(spark, sf_dir):
     return segment.merge_lines(segment.split_lines(_docs(spark, sf_dir)))
 
 
-@query()
+_CUT = """CASE WHEN strpos(reverse(left(rest, 2000)), chr(10) || chr(10)) > 0 THEN 2001 - strpos(reverse(left(rest, 2000)), chr(10) || chr(10))
+  WHEN strpos(reverse(left(rest, 2000)), ' .') > 0 THEN 2001 - strpos(reverse(left(rest, 2000)), ' .') ELSE 2000 END"""
+
+
+@query(f"""WITH RECURSIVE r AS (SELECT doc_id, 0 AS chunk_no, text AS rest FROM documents UNION ALL SELECT doc_id, chunk_no + 1, substring(rest, a + 1) FROM (SELECT *, {_CUT} AS a FROM r) WHERE length(rest) > 2000)
+SELECT doc_id, chunk_no, CASE WHEN length(rest) > 2000 THEN {_CUT} ELSE length(rest) END AS n_chars FROM r WHERE rest <> ''""")
 def text_chunks(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.posexplode(segment.chunks("text", 2000)).alias("chunk_no", "text")).select("doc_id", "chunk_no", F.length("text").alias("n_chars"))
 
@@ -399,7 +486,10 @@ def chapter_sections(spark, sf_dir):
     return structure.sections_of_chapters(segment.chapters(_with_headings(spark, sf_dir)))
 
 
-@query()
+@query(f"""WITH l AS (SELECT doc_id, line_no, CASE WHEN line_no % 3 > 0 THEN left(raw, 1) ELSE raw END AS text FROM ({LINES})),
+g AS (SELECT *, sum((NOT regexp_matches(text, '^[a-zA-Z]$'))::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS g FROM l),
+k AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, g ORDER BY line_no) - 1) // 5 AS k FROM g WHERE regexp_matches(text, '^[a-zA-Z]$'))
+SELECT doc_id, min(line_no) AS line_no, string_agg(text, '' ORDER BY line_no) AS text, count(*) AS consumed FROM k GROUP BY doc_id, g, k""")
 def vertical_text(spark, sf_dir):
     rows = segment.raw_lines(_docs(spark, sf_dir))
     return segment.vertical_text(rows.withColumn("text", F.when(F.col("line_no") % 3 > 0, F.substring("text", 1, 1)).otherwise(F.col("text"))))
