@@ -167,7 +167,7 @@ d AS (SELECT *, regexp_replace(regexp_replace(t, '\.{{2,}}.*?\d+$', ''), '\.{{3,
 c AS (SELECT *, list_filter(string_split_regex(y, '\s+'), lambda x: x <> '') AS w FROM d),
 j AS (SELECT *, CASE WHEN contains(y, ' ') THEN array_to_string(list_transform(w, lambda x, i: CASE WHEN i = 1 OR {_SINGLE.format("x")} AND {_SINGLE.format("w[i - 1]")} THEN '' ELSE ' ' END || x), '') ELSE y END AS z FROM c),
 k AS (SELECT *, replace({_SPACED}, 'D & D', 'D&D') AS v FROM j)
-SELECT page_id, CASE WHEN t = '' THEN 'Untitled Section' ELSE array_to_string(list_transform(string_split(v, ' '), lambda x: upper(left(x, 1)) || lower(substring(x, 2))), ' ') END AS title,
+SELECT page_id, CASE WHEN t = '' THEN 'Untitled Section' ELSE array_to_string(list_transform(string_split(v, ' '), lambda x: CASE left(x, 1) WHEN 'ß' THEN 'Ss' ELSE upper(left(x, 1)) END || lower(substring(x, 2))), ' ') END AS title,
   array_to_string(list_transform(regexp_extract_all(translate(regexp_replace(name, '(.)\.[^./\\]*$', '\1'), '_-', '  '), '\p{{L}}+|\P{{L}}+'), lambda r: upper(left(r, 1)) || lower(substring(r, 2))), '') AS name,
   TRY_CAST(regexp_extract(url, '\s*(\d+)\s*$', 1) AS INT) AS page FROM k""")
 def titles(spark, sf_dir):
