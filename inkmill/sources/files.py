@@ -17,8 +17,8 @@ from inkmill.functions import text as tx
 
 def find_files(spark: SparkSession, folder: str, pattern: str = "*.pdf", content: bool = True) -> DataFrame:
     """path, length, modificationTime (and content) of the files below a folder whose names
-    fit the pattern, by path. A folder that is not there: no rows; empty files hold nothing to
-    extract and are left out."""
+    fit the pattern; without content by path, so that no file's bytes are sorted. A folder that
+    is not there: no rows; empty files hold nothing to extract and are left out."""
     reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
     schema = "path string, modificationTime timestamp, length long, content binary"
     at = spark._jvm.org.apache.hadoop.fs.Path(folder)
@@ -26,7 +26,9 @@ def find_files(spark: SparkSession, folder: str, pattern: str = "*.pdf", content
         found = spark.createDataFrame([], schema)
     else:
         found = reader.load(folder)
-    return found.select("path", "length", "modificationTime", *["content"] * content).orderBy("path")
+    if content:
+        return found.select("path", "length", "modificationTime", "content")
+    return found.select("path", "length", "modificationTime").orderBy("path")
 
 
 def read_texts(spark: SparkSession, folder: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
@@ -37,11 +39,11 @@ def read_texts(spark: SparkSession, folder: str, pattern: str = "*", recursive:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """df, dealt by key over all cores if it has fewer files than there are cores: one small
-    file is one task otherwise. Windows and groups by the key then need no shuffle of their
-    own. Tables of many files stay as they are."""
+    """df, dealt by key over all cores if it is read by fewer tasks than there are cores: one
+    small file is one task otherwise. Windows and groups by the key then need no shuffle of
+    their own. Larger tables stay as they are."""
     n = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= n else df.repartition(n, key)
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n, key)
 
 
 def relative_path(path: Column, root: str) -> Column:
@@ -157,9 +159,10 @@ for _name, _run in (("pymupdf", _pymupdf), ("pypdf", _pypdf), ("ocr", ocr_backen
     register_backend(_name, _run)
 
 
-def extract_pages(files: DataFrame, backend: str | Backend, pages: Sequence[int] | None = None, key: str = "path") -> DataFrame:
+def extract_pages(files: DataFrame, backend: str | Backend, pages: Sequence[int] | None = None, key: str = "path", strict: bool = False) -> DataFrame:
     """key, page_no, text of files (key, content) by one backend; a file that it cannot read
-    has no rows. Page numbers out of range are skipped; no page numbers: all pages."""
+    has no rows, or if strict is an error. Page numbers out of range are skipped; no page
+    numbers: all pages."""
     run = BACKENDS[backend] if isinstance(backend, str) else backend
     chosen = list(pages) if pages else None
     kind = files.schema[key].dataType.simpleString()
@@ -170,6 +173,8 @@ def extract_pages(files: DataFrame, backend: str | Backend, pages: Sequence[int]
                 try:
                     found = run(data.as_py(), chosen)
                 except Exception:  # a backend's errors mean: not readable by it
+                    if strict:
+                        raise
                     continue
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(found), batch.schema.field(0).type), pa.array([p for p, _ in found], pa.int32()), pa.array([t for _, t in found], pa.string())], names=[key, "page_no", "text"])
@@ -188,18 +193,36 @@ def select_pages(pages: DataFrame, first: int | None = None, last: int | None =
     return pages if first is None and last is None else pages.filter((F.col("page_no") >= (first or 0)) & (F.lit(True) if last is None else F.col("page_no") < last))
 
 
-def extract(files: DataFrame, methods: Sequence[str | Backend] = ("pymupdf", "pypdf", "ocr"), pages: Sequence[int] | None = None, key: str = "path") -> DataFrame:
-    """key, text, method: by the first method that gives any text, cleaned. Each method sees
-    only what those before it left; empty text where all fail."""
-    left, done = files.select(key, "content"), None
-    for m in methods:
-        name = m if isinstance(m, str) else getattr(m, "__name__", "custom")
-        text = join_pages(extract_pages(left, m, pages, key), key).filter("text <> ''")
-        one = text.select(key, tx.clean_extracted_text("text").alias("text"), F.lit(name).alias("method"))
-        done = one if done is None else done.unionByName(one)
-        left = left.join(text.select(F.col(key).alias("_k")), F.col(key) == F.col("_k"), "left_anti")
-    none = left.select(key, F.lit("").alias("text"), F.lit(None).cast("string").alias("method"))
-    return none if done is None else done.unionByName(none)
+def extract(
+    files: DataFrame, methods: Sequence[str | Backend] = ("pymupdf", "pypdf", "ocr"), pages: Sequence[int] | None = None, key: str = "path", last: str | Backend | None = None
+) -> DataFrame:
+    """key, text, method: by the first method that gives any text, cleaned; where all fail by
+    `last`, as it is; else the empty text. One pass over the files: each is read once, and a
+    method runs on a file only if those before it gave nothing."""
+    named = lambda m: (m, BACKENDS[m]) if isinstance(m, str) else (getattr(m, "__name__", "custom"), m)
+    steps = [(*named(m), True) for m in methods] + ([] if last is None else [(*named(last), False)])
+    chosen, kind = list(pages) if pages else None, files.schema[key].dataType.simpleString()
+
+    def first(data: bytes) -> tuple[str, str | None, bool]:
+        for name, run, clean in steps:
+            try:
+                text = "\n\n".join(t for _, t in sorted(run(data, chosen), key=lambda p: p[0]))
+            except Exception:  # a backend's errors mean: not readable by it
+                continue
+            if text:
+                return text, name, clean
+        return "", None, False
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                text, method, clean = first(batch.column(1)[at].as_py())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(at, 1), pa.array([text], pa.string()), pa.array([method], pa.string()), pa.array([clean], pa.bool_())], names=[key, "text", "method", "clean"]
+                )
+
+    made = files.select(key, "content").mapInArrow(read, f"`{key}` {kind}, text string, method string, clean boolean")
+    return made.select(key, F.when(F.col("clean"), tx.clean_extracted_text("text")).otherwise(F.col("text")).alias("text"), "method")
 
 
 # --- HTML -------------------------------------------------------------------------------

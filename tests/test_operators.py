@@ -213,6 +213,12 @@ def test_corrected_text_against_brute_force(spark, aggressive, most_bytes):
     assert correct.correct_text(df.limit(0), correct.corrector_lexicon(spark)).count() == 0
 
 
+def test_rendered_lint_and_preview(spark):
+    got = lint.lint_rendered(docs(spark, "# A **w eapon** and\n- youcan")).collect()
+    assert [(r.text, r.suggestion, r.line_num, r.column) for r in sorted(got, key=lambda r: r.ord)] == [("w eapon", "weapon", 1, 3), ("youcan", "you can", 2, 1)]
+    assert column(docs(spark, "a\nb\nc\nd", "a\nb").select(lint.preview(F.col("text"), 2).alias("p")), "p") == ["a\nb\n... and 2 more lines", "a\nb"]
+
+
 def test_word_errors_in_parts_agree(spark):
     from inkmill.operators import lint
     from inkmill.operators.segment import md_sections, raw_lines

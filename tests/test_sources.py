@@ -14,7 +14,8 @@ def test_find_and_read(spark, tmp_path):
     (tmp_path / "y.pdf").write_bytes(b"x")
     (tmp_path / "z.PDF").write_bytes(b"")
     (tmp_path / "m.md").write_text("# é\nb")
-    assert [r.path.rsplit("/", 1)[-1] for r in files.find_files(spark, str(tmp_path)).collect()] == ["x.pdf", "y.pdf"]
+    assert sorted(r.path.rsplit("/", 1)[-1] for r in files.find_files(spark, str(tmp_path)).collect()) == ["x.pdf", "y.pdf"]
+    assert [r.path.rsplit("/", 1)[-1] for r in files.find_files(spark, str(tmp_path), content=False).collect()] == ["x.pdf", "y.pdf"]
     assert files.find_files(spark, str(tmp_path / "none")).count() == 0
     got = files.read_texts(spark, str(tmp_path), "*.md").select("text", files.relative_path(F.col("path"), str(tmp_path)).alias("r"), files.stem(F.col("path")).alias("s"), files.suffix(F.col("path")).alias("x")).first()
     assert tuple(got) == ("# é\nb", "m.md", "m", ".md")
