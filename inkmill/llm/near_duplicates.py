@@ -224,7 +224,8 @@ def exact_links(pairs: DataFrame, sets: DataFrame, p: NearDuplicates) -> DataFra
 
 
 def _with_component(df: DataFrame, key: str, parts: DataFrame, name: str) -> DataFrame:
-    parts = parts.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+    """df with the component of column key, or key itself if it is linked with nothing; parts is a written table."""
+    parts = small(parts).select(F.col("node").alias("_n"), F.col("component").alias("_c"))
     return df.join(parts, F.col(key) == F.col("_n"), "left").withColumn(name, F.coalesce("_c", key)).drop("_n", "_c")
 
 
@@ -234,15 +235,16 @@ def _across(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return both.filter("c1 <> c2").select("member", "pivot")
 
 
-def _named(ids: DataFrame, reps: DataFrame) -> DataFrame:
+def _named(ids: DataFrame, reps: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """id, least_id, least_key: where the texts of the classes in ids (id) are found."""
-    return ids.distinct().join(reps.select(F.col("id").alias("r"), "least_id", "least_key"), F.col("id") == F.col("r")).drop("r")
+    ids = scratch.write(ids.distinct().withColumnRenamed("id", "i"), f"{name}-distinct")
+    return scratch.write(reps.select("id", "least_id", "least_key").join(small(ids), F.col("id") == F.col("i"), "left_semi"), name)
 
 
 def _verify(docs: DataFrame, survivors: DataFrame, reps: DataFrame, scratch: Scratch, name: str, p: NearDuplicates) -> DataFrame:
     """The links among the survivors, but for such as join what others join already."""
     ends = survivors.select(F.col("member").alias("id")).unionByName(survivors.select(F.col("pivot").alias("id")))
-    sets = scratch.write(set_table(docs, scratch.write(_named(ends, reps), f"{name}-ids"), p), f"{name}-sets")
+    sets = scratch.write(set_table(docs, _named(ends, reps, scratch, f"{name}-ids"), p), f"{name}-sets")
     # Each member's likeliest pivot; of equals the smallest.
     rank = F.col("equal") * F.lit(1 << 40) + F.pmod(F.xxhash64("pivot"), F.lit(1 << 40))
     ranked = survivors.withColumn("rank", rank)
@@ -388,7 +390,7 @@ def _resolve(spark: SparkSession, docs: DataFrame, p: NearDuplicates, scratch: S
         signature = reps.select(F.col("id").alias("i"), "sig")
         dealt = scratch.write(_blocks(_groups(crowd, scratch, p), p), "dealt")
         close = scratch.write(_close_members(dealt.join(signature, F.col("id") == F.col("i")).drop("i"), p), "close")
-        ids = scratch.write(_named(close.select("id"), reps), "close-ids")
+        ids = _named(close.select("id"), reps, scratch, "close-ids")
         if ids.limit(1).count():
             sets = scratch.write(set_table(docs, ids, p), "close-sets").select(F.col("id").alias("j"), "shingles")
             group = close.join(signature, F.col("id") == F.col("i")).drop("i").join(sets, F.col("id") == F.col("j")).drop("j")
@@ -396,17 +398,16 @@ def _resolve(spark: SparkSession, docs: DataFrame, p: NearDuplicates, scratch: S
             links = links.unionByName(more)
             parts = scratch.write(connected_components(links, scratch, "cc-2"), "parts-2")
 
-    own = scratch.write(_with_component(reps.select("id", "set_key", "least_id", "least_key"), "id", parts, "component"), "own")
-    scratch.drop("reps", "members", "star-sets", "close-sets", "crowd", "open-members", "dealt", "close")
-    first = F.min(F.struct(F.col("least_id").isNull().alias("none"), "least_id", "least_key", "id")).alias("one")
-    linked = own.filter("component <> id").select("component").distinct().withColumnRenamed("component", "c")
-    least = own.join(linked, F.col("component") == F.col("c"), "left_semi").groupBy("component").agg(first)
-    least = scratch.write(least.select(F.col("component").alias("c"), "one"), "least")
-    at = own.join(small(least), F.col("component") == F.col("c"), "left").select(
-        F.col("set_key").alias("k"), "id", F.coalesce("one", F.struct(F.col("least_id").isNull().alias("none"), "least_id", "least_key", "id")).alias("one")
-    )
+    # Of each component the class with the smallest id; classes alone are their own.
+    one = F.struct(F.col("least_id").isNull().alias("none"), "least_id", "least_key", "id")
+    linked = reps.select(one.alias("one")).join(small(parts), F.col("one.id") == F.col("node"))
+    least = scratch.write(linked.groupBy(F.col("component").alias("c")).agg(F.min("one").alias("least")), "least")
+    own = _with_component(reps.select("set_key", "id", one.alias("one")), "id", parts, "component")
+    at = own.join(small(least), F.col("component") == F.col("c"), "left").select(F.col("set_key").alias("k"), "id", F.coalesce("least", "one").alias("one"))
     classes = at.select("k", "id", F.col("one.least_id").alias("least_id"), F.col("one.id").alias("keeper"), F.col("one.least_key").alias("keeper_key"))
-    return signed.select("doc_id", "text_key", "n_shingles", "set_key"), scratch.write(classes, "classes")
+    classes = scratch.write(classes, "classes")
+    scratch.drop("reps", "members", "star-sets", "close-sets", "crowd", "open-members", "dealt", "close")
+    return signed.select("doc_id", "text_key", "n_shingles", "set_key"), classes
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, p: NearDuplicates = NearDuplicates()) -> DataFrame:

@@ -178,8 +178,10 @@ def test_mixing_of_odd_rows(spark):
 
 
 # --- 6 ----------------------------------------------------------------------------------
-def test_near_duplicates(spark, docs):
-    assert rows(q.op6_near_duplicates(spark, SF)) == sorted(brute.near_duplicates(docs, 4))
+def test_near_duplicates(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    assert rows(q.op6_near_duplicates(spark, sf)) == sorted(brute.near_duplicates(docs, 4))
 
 
 def test_near_duplicates_crowd(spark):
