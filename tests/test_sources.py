@@ -74,7 +74,7 @@ def test_landing_stream(spark, tmp_path):
     assert run() and spark.read.parquet(str(tmp_path / "out")).count() == 3
 
 
-def test_command_line(spark, tmp_path):
+def test_command_line(spark, tmp_path, capsys):
     from inkmill.plans.cli import parser, run
 
     (tmp_path / "in/sub").mkdir(parents=True)
@@ -86,6 +86,9 @@ def test_command_line(spark, tmp_path):
     assert json.loads((tmp_path / "out/lines/sub/a.json").read_text())["content"] == ["C h a p t e r 1 : R a c e s", "first line"]
     assert ask("convert", tmp_path / "out/processed", tmp_path / "md") == 1 and "## 1. Races" in (tmp_path / "md/sub/a.md").read_text()
     assert ask("process", tmp_path / "in", tmp_path / "md2", "--type", "markdown", "--no-toc") == 1 and "Table of Contents" not in (tmp_path / "md2/sub/a.md").read_text()
+    assert ask("process", tmp_path / "in", tmp_path / "out2", "--type", "processed", "--to-markdown") == 2 and "# " in (tmp_path / "out2/markdown/sub/a.md").read_text()
+    assert ask("lint", tmp_path / "in", tmp_path / "adv", "--advanced", "--preview", "6") == 1 and "SPLIT_WORD" in (tmp_path / "adv/b.report.txt").read_text()
+    assert "w eapon" in capsys.readouterr().out
     assert ask("lint", tmp_path / "in", tmp_path / "rep", "--fix") == 2
     assert "w eapon" in (tmp_path / "rep/b.report.txt").read_text() and (tmp_path / "rep/b.fixed.md").read_text() == "the weapon"
 
