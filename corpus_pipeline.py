@@ -1,4 +1,10 @@
-"""The corpus pipeline: language ID, near-duplicates, decontamination, mixing, token files."""
+"""The corpus pipeline: language ID, near-duplicates, decontamination, mixing, token files.
+
+Every stage reads all rows and whole texts of its predecessor, keeps the columns as they are
+(the last one returns digests), and on an empty table returns no rows. Rows are judged by
+what they hold, so a row without doc_id is one like others and rows that share an id have
+verdicts of their own.
+"""
 
 from __future__ import annotations
 
@@ -14,27 +20,34 @@ from inkmill.llm.tokens import token_file_digests
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no language explains go."""
+    """Documents that no language explains go: null and empty texts without a declared language
+    that others have, texts like noise. Equal rows share their verdict."""
     return drop_unidentified(spark, docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, 0.8) stays."""
+    """One document of each group of near-duplicates (five words, 0.8) stays: the one with the
+    smallest doc_id, null ids last, then the smallest hash of the text; of repeated rows one.
+    Null and empty texts are no duplicates of anything and all stay."""
     return drop_near_duplicates(spark, docs, NearDuplicates())
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold passages of the benchmark go."""
+    """Documents of whose words at least a twentieth lie in passages of the benchmark go. Null
+    and wordless texts stay; items of the benchmark without id or words ask for nothing."""
     return drop_contaminated(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them: rows repeat. Null source is a source, the last in
+    order; ties of the sampling key are ordered by the hash of id and text, and repeated rows
+    are in or out together."""
     return mix(spark, docs)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of all that is left; per document its place and digest in them."""
+    """Token files of all that is left; per document its place and digest in them. Null text: the
+    end id alone; null doc_id first; rows of one id are ordered by text."""
     return token_file_digests(spark, docs, tokenizer_path())
 
 
