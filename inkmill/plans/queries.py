@@ -203,7 +203,8 @@ def quality_metrics(spark, sf_dir):
 def quality_issues(spark, sf_dir):
     found = quality.issues(_docs(spark, sf_dir))
     says = lambda t: F.exists("issues", lambda i: i.startswith(t))
-    return found.select("doc_id", says("Text contains too few").alias("few_words"), says("Average word length too short").alias("short_words"), says("Average word length too long").alias("long_words"), says("Non-ASCII").alias("non_ascii"))
+    of_text = lambda c: F.when(F.col("word_count").isNotNull(), c)
+    return found.select("doc_id", of_text(says("Text contains too few")).alias("few_words"), says("Average word length too short").alias("short_words"), says("Average word length too long").alias("long_words"), of_text(says("Non-ASCII")).alias("non_ascii"))
 
 
 @query(f"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
